@@ -98,3 +98,24 @@ def word_hashes(distinct: pa.Array) -> np.ndarray:
 
     digest = xxhash.xxh3_64_intdigest
     return np.fromiter((digest(w) for w in distinct.cast(pa.binary()).to_pylist()), dtype=np.uint64, count=len(distinct))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` kept as files in the shared folder that the cluster names in spark.checkpoint.dir.
+
+    Only where nothing names one (tests on one machine) is a temporary folder set.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not shared:
+            import tempfile
+
+            shared = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        context.setCheckpointDir(shared)
+    return df.checkpoint(eager=True)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
