@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from commonloom.llm import exact_dedup, line_dedup
+from commonloom.llm import bpe, exact_dedup, line_dedup
 from commonloom.llm.common import read_table
 
 
@@ -17,6 +17,7 @@ def _on(table: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSess
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": _on("documents", line_dedup.op5),
     "op6_exact_dedup": _on("documents", exact_dedup.op6),
+    "op7_bpe": _on("documents", bpe.op7),
 }
 
 SQL: dict[str, str] = {
