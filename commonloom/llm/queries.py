@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from commonloom.llm import bpe, exact_dedup, line_dedup
+from commonloom.llm import bpe, exact_dedup, line_dedup, quality_rules
 from commonloom.llm.common import read_table
 
 
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": _on("documents", line_dedup.op5),
     "op6_exact_dedup": _on("documents", exact_dedup.op6),
     "op7_bpe": _on("documents", bpe.op7),
+    "op10_quality_rules": _on("documents", quality_rules.op10),
 }
 
 SQL: dict[str, str] = {
