@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from commonloom.llm import bpe, exact_dedup, line_dedup, quality_rules
+from commonloom.llm import bpe, exact_dedup, line_dedup, quality_gam, quality_rules
 from commonloom.llm.common import read_table
 
 
@@ -14,7 +14,12 @@ def _on(table: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSess
     return lambda spark, sf_dir: op(read_table(spark, sf_dir, table))
 
 
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.op4(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality_gam": _op4,
     "op5_line_dedup": _on("documents", line_dedup.op5),
     "op6_exact_dedup": _on("documents", exact_dedup.op6),
     "op7_bpe": _on("documents", bpe.op7),
