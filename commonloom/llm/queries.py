@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from commonloom.llm import bpe, exact_dedup, line_dedup, quality_gam, quality_rules
+from commonloom.llm import bpe, exact_dedup, lang_id, line_dedup, quality_gam, quality_rules
 from commonloom.llm.common import read_table
 
 
@@ -19,6 +19,7 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lang_id": _on("documents", lang_id.op1),
     "op4_quality_gam": _op4,
     "op5_line_dedup": _on("documents", line_dedup.op5),
     "op6_exact_dedup": _on("documents", exact_dedup.op6),
