@@ -119,3 +119,33 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows up to which a side of a join of a few numbers is broadcast (some tens of MB); beyond that both sides are shuffled.
+SMALL = 1_000_000
+
+
+def join_keyed(large: DataFrame, keyed: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Joins with a table of few narrow columns that has been kept (see `checkpointed`): broadcast if its counted rows are few, else shuffled."""
+    return large.join(F.broadcast(keyed) if keyed.count() <= SMALL else keyed, on, how)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """The smallest number that can be reached from each end of the links `a, b`: rows `node, root` of nodes other than roots.
+
+    Alternates the large-star and small-star steps of connected components until nothing changes;
+    each is a minimum with map-side combination and a join, so a hub's neighbours never meet in one task.
+    """
+    edges = checkpointed(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    seen = None
+    while True:
+        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if mark == seen or not mark[0]:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        seen = mark
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("_m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("_m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("_m"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("_m").alias("b")), F.struct("a", F.col("_m").alias("b")))).alias("_e"))
+        edges = checkpointed(small.select("_e.a", "_e.b").where("a <> b").distinct())

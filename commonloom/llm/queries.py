@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from commonloom.llm import bpe, exact_dedup, html_extract, lang_id, line_dedup, packing, quality_gam, quality_rules
+from commonloom.llm import bpe, exact_dedup, html_extract, lang_id, line_dedup, ngram_join, packing, quality_gam, quality_rules
 from commonloom.llm.common import read_table
 
 
@@ -20,6 +20,7 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lang_id": _on("documents", lang_id.op1),
+    "op2_ngram_join": _on("documents", ngram_join.op2),
     "op3_packing": _on("documents", packing.op3),
     "op4_quality_gam": _op4,
     "op5_line_dedup": _on("documents", line_dedup.op5),
