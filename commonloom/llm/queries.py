@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from commonloom.llm import bpe, exact_dedup, html_extract, lang_id, line_dedup, ngram_join, packing, quality_gam, quality_rules
+from commonloom.llm import bpe, exact_dedup, html_extract, lang_id, line_dedup, ngram_join, packing, quality_gam, quality_rules, substring_dedup
 from commonloom.llm.common import read_table
 
 
@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": _on("documents", line_dedup.op5),
     "op6_exact_dedup": _on("documents", exact_dedup.op6),
     "op7_bpe": _on("documents", bpe.op7),
+    "op8_substring_dedup": _on("documents", substring_dedup.op8),
     "op9_html_extract": _on("pages", html_extract.op9),
     "op10_quality_rules": _on("documents", quality_rules.op10),
 }
