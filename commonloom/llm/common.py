@@ -100,20 +100,25 @@ def word_hashes(distinct: pa.Array) -> np.ndarray:
     return np.fromiter((digest(w) for w in distinct.cast(pa.binary()).to_pylist()), dtype=np.uint64, count=len(distinct))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` kept as files in the shared folder that the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which the cluster names in spark.checkpoint.dir.
 
-    Only where nothing names one (tests on one machine) is a temporary folder set.
+    Only where nothing names one (tests on one machine) is a temporary folder taken.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named:
+        import tempfile
+
+        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not context.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not shared:
-            import tempfile
+        context.setCheckpointDir(named)
+    return named
 
-            shared = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        context.setCheckpointDir(shared)
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` kept as files in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -18,6 +18,12 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.op4(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lang_id": _on("documents", lang_id.op1),
     "op2_ngram_join": _on("documents", ngram_join.op2),
@@ -29,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": _on("documents", substring_dedup.op8),
     "op9_html_extract": _on("pages", html_extract.op9),
     "op10_quality_rules": _on("documents", quality_rules.op10),
+    "pipeline": _pipeline,
 }
 
 SQL: dict[str, str] = {
