@@ -50,6 +50,19 @@ def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
     return key.alias("_k1"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_k2")
 
 
+def carried(df: DataFrame, *new: str, needed: tuple[str, ...] = ()) -> Column:
+    """The columns of `df` as one struct `_row`, so that none clashes with an operator's own; without those that `new` ones replace, unless `needed`."""
+    gone = {n.lower() for n in new} - {n.lower() for n in needed}
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in gone)).alias("_row")
+
+
+def with_columns_back(df: DataFrame, *new: Column | str) -> DataFrame:
+    """The carried columns and new ones."""
+    row = df.schema["_row"].dataType
+    names = [c if isinstance(c, str) else df.select(c).columns[0] for c in new]
+    return df.select(*(F.col("_row")[f.name].alias(f.name) for f in row if f.name not in names), *new)
+
+
 def arrow_slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about `most_bytes` of text, so that memory follows neither the batch size nor long rows' neighbours."""
     for batch in batches:

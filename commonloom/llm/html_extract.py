@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from commonloom.llm.common import arrow_slices
+from commonloom.llm.common import arrow_slices, carried, with_columns_back
 
 #: Names of HTML elements by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -229,19 +230,17 @@ def html_extract(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     host. Repeated rows each give a row; an empty table gives an empty result. Columns named as
     the new ones are replaced.
     """
-    plain = pages.drop(*({new_text, "n_chars"} - {url_col, html_col}))
-    joined = plain.withColumn("_host", _host(F.col(url_col))).join(host_paths(pages, url_col, html_col), "_host", "left").drop("_host")
-    kept = [f for f in joined.schema if f.name not in ("_path", html_col)]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    rows = pages.select(carried(pages, new_text, "n_chars", needed=(url_col, html_col)), _host(F.col(url_col)).alias("_host"))
+    joined = rows.join(host_paths(pages, url_col, html_col), "_host", "left").select("_row", F.col("_row")[html_col].alias("_html"), "_path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in arrow_slices(batches, html_col):
-            texts = [extract(p, path) if p else "" for p, path in zip(part.column(html_col).to_pylist(), part.column("_path").to_pylist(), strict=True)]
-            out = {f.name: part.column(f.name) for f in kept} | {new_text: pa.array(texts, pa.string()), "n_chars": np.array([len(t) for t in texts], dtype=np.int64)}
-            yield pa.RecordBatch.from_pydict(out)
+        for part in arrow_slices(batches, "_html"):
+            texts = [extract(p, path) if p else "" for p, path in zip(part.column("_html").to_pylist(), part.column("_path").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"_row": part.column("_row"), new_text: pa.array(texts, pa.string()), "n_chars": np.array([len(t) for t in texts], dtype=np.int64)})
 
-    return joined.mapInArrow(run, f"{schema}, `{new_text}` string, n_chars long")
+    schema = T.StructType([joined.schema["_row"], T.StructField(new_text, T.StringType()), T.StructField("n_chars", T.LongType())])
+    return with_columns_back(joined.mapInArrow(run, schema), new_text, "n_chars")
 
 
 def op9(pages: DataFrame) -> DataFrame:
-    return html_extract(pages.select("page_id", "url", "html"))
+    return html_extract(pages.select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")

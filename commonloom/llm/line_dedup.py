@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from commonloom.llm.common import WHITE, ascii_lower, row_key
+from commonloom.llm.common import WHITE, ascii_lower, carried, row_key, with_columns_back
 
 
 def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -49,10 +49,9 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     `keep_words` is null where all lines stay. Columns of those names in `docs` are replaced.
     """
     bitmaps = line_bitmaps(docs, min_chars, min_docs, id_col, text_col)
-    k1, k2 = row_key(id_col, text_col)
-    plain = docs.drop(*({"n_lines", "n_dropped", "keep_words", new_text} - {id_col, text_col}))
-    joined = plain.select("*", k1, k2).join(bitmaps, ["_k1", "_k2"], "left").drop("_k1", "_k2")
-    whole = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(carried(docs, "n_lines", "n_dropped", "keep_words", new_text, needed=(id_col, text_col)), *row_key(id_col, text_col))
+    joined = rows.join(bitmaps, ["_k1", "_k2"], "left")
+    whole = F.coalesce(F.col("_row")[text_col], F.lit(""))
     lines = F.split(whole, "\n")
 
     def stays(_line, at):
@@ -60,7 +59,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
         return F.coalesce(F.getbit(word, at % 64) == 1, F.lit(True))
 
     left = F.when(F.col("keep_words").isNull(), whole).otherwise(F.array_join(F.filter(lines, stays), "\n"))
-    return joined.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce("n_dropped", F.lit(0)).cast("long"), new_text: left})
+    dropped = F.coalesce("n_dropped", F.lit(0)).cast("long")
+    return with_columns_back(joined, F.size(lines).cast("long").alias("n_lines"), dropped.alias("n_dropped"), "keep_words", left.alias(new_text))
 
 
 def op5(docs: DataFrame) -> DataFrame:

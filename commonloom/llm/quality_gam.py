@@ -17,8 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from commonloom.llm.common import arrow_slices, held_out, may_learn, word_codes
+from commonloom.llm.common import arrow_slices, carried, held_out, may_learn, with_columns_back, word_codes
 from commonloom.llm.quality_rules import covered, duplicate_lines, repeat_lengths
 
 FEATURES = (
@@ -210,15 +211,15 @@ def score_quality(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col:
 
     Null and empty texts are scored as empty ones. A column of that name is replaced.
     """
-    plain = docs.drop("quality_score")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
+    rows = docs.select(carried(docs, "quality_score", needed=(id_col, text_col)), F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in arrow_slices(batches, text_col):
-            scores = model.score(text_features(part.column(text_col)))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, "quality_score"])
+        for part in arrow_slices(batches, "_text"):
+            scores = model.score(text_features(part.column("_text")))
+            yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(scores, pa.float64())], names=["_row", "quality_score"])
 
-    return plain.mapInArrow(run, f"{schema}, quality_score double")
+    schema = T.StructType([rows.schema["_row"], T.StructField("quality_score", T.DoubleType())])
+    return with_columns_back(rows.mapInArrow(run, schema), "quality_score")
 
 
 def op4(docs: DataFrame, labels: DataFrame) -> DataFrame:

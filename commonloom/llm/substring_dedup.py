@@ -17,8 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from commonloom.llm.common import arrow_slices, checkpointed, mix64, row_key, word_codes, word_hashes, words_of
+from commonloom.llm.common import arrow_slices, carried, checkpointed, mix64, row_key, with_columns_back, word_codes, word_hashes, words_of
 
 #: Words of the phrases that windows are filed under, at most.
 PHRASE = 8
@@ -207,14 +208,12 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     replaced; an empty table gives an empty result.
     """
     spans = repeated_spans(docs, window, id_col, text_col)
-    plain = docs.drop(*({"n_words", "n_removed", new_text} - {id_col, text_col}))
-    joined = plain.select("*", *row_key(id_col, text_col)).join(spans, ["_k1", "_k2"], "left").drop("_k1", "_k2")
-    kept = [f for f in joined.schema if f.name != "removed"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    rows = docs.select(carried(docs, "n_words", "n_removed", new_text, needed=(id_col, text_col)), *row_key(id_col, text_col))
+    joined = rows.join(spans, ["_k1", "_k2"], "left").select("_row", F.col("_row")[text_col].alias("_text"), "removed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in arrow_slices(batches, text_col):
-            flat, counts = words_of(part.column(text_col))
+        for part in arrow_slices(batches, "_text"):
+            flat, counts = words_of(part.column("_text"))
             first = np.cumsum(counts) - counts
             edge = np.zeros(len(flat) + 1, dtype=np.int64)
             for i, lists in enumerate(part.column("removed").to_pylist()):
@@ -226,10 +225,10 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
             left = np.bincount(doc[stay], minlength=len(counts))
             ends = pa.array(np.concatenate([[0], np.cumsum(left)]), pa.int32())
             texts = pc.binary_join(pa.ListArray.from_arrays(ends, flat.filter(pa.array(stay))), " ")
-            out = {f.name: part.column(f.name) for f in kept} | {"n_words": counts, "n_removed": counts - left, new_text: texts}
-            yield pa.RecordBatch.from_pydict(out)
+            yield pa.RecordBatch.from_pydict({"_row": part.column("_row"), "n_words": counts, "n_removed": counts - left, new_text: texts})
 
-    return joined.mapInArrow(run, f"{schema}, n_words long, n_removed long, `{new_text}` string")
+    schema = T.StructType([joined.schema["_row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(new_text, T.StringType())])
+    return with_columns_back(joined.mapInArrow(run, schema), "n_words", "n_removed", new_text)
 
 
 def op8(docs: DataFrame) -> DataFrame:
