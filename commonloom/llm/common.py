@@ -105,12 +105,34 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes of a word that are hashed for all words at once; longer words are hashed one by one.
+_AT_ONCE = 48
+
+
 def word_hashes(distinct: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each distinct word, the same on every executor."""
+    """A 64-bit hash of each distinct word, the same on every executor; byte by byte over all words that are long enough."""
     import xxhash
 
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w) for w in distinct.cast(pa.binary()).to_pylist()), dtype=np.uint64, count=len(distinct))
+    words = distinct.cast(pa.large_binary())
+    _, offsets, data = words.buffers()
+    if not len(words):
+        return np.zeros(0, dtype=np.uint64)
+    offsets = np.frombuffer(offsets, dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(data, dtype=np.uint8)
+    length = np.diff(offsets)
+    order = np.argsort(-length)
+    start, length = offsets[:-1][order], length[order]
+    value = length.astype(np.uint64) + np.uint64(0x27220A95FE1D83D5)
+    with np.errstate(over="ignore"):
+        for k in range(min(int(length[0]), _AT_ONCE)):
+            n = int(np.searchsorted(-length, -k))  # words longer than k
+            step = (value[:n] ^ data[start[:n] + k]) * np.uint64(0x9E3779B97F4A7C15)
+            value[:n] = step ^ (step >> np.uint64(29))
+    for i in range(int(np.searchsorted(-length, -_AT_ONCE))):
+        value[i] = xxhash.xxh3_64_intdigest(data[start[i] : start[i] + length[i]].tobytes())
+    out = np.empty(len(value), dtype=np.uint64)
+    out[order] = mix64(value)
+    return out
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -148,6 +170,14 @@ def join_keyed(large: DataFrame, keyed: DataFrame, on: list[str], how: str = "in
     return large.join(F.broadcast(keyed) if keyed.count() <= SMALL else keyed, on, how)
 
 
+def attach_keyed(large: DataFrame, keyed: DataFrame, on: list[str]) -> DataFrame:
+    """A left join with a kept table whose rows stand for few of `large`'s: while its keys are few, only rows that have a partner are shuffled."""
+    if keyed.count() > SMALL:
+        return large.join(keyed, on, "left")
+    keys = F.broadcast(keyed.select(*on))
+    return large.join(keys, on, "left_semi").join(keyed, on, "left").unionByName(large.join(keys, on, "left_anti"), allowMissingColumns=True)
+
+
 def components(links: DataFrame) -> DataFrame:
     """The smallest number that can be reached from each end of the links `a, b`: rows `node, root` of nodes other than roots.
 

@@ -43,23 +43,27 @@ def size_classes(percent: int) -> tuple[np.ndarray, np.ndarray]:
     return bounds[:-1], 2 * (bounds[1:] - 1) * (100 - percent) // (100 + percent)
 
 
+#: Odd factors for the places in a shingle.
+_PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
+
+
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the distinct shingles of each lower-cased text, sorted by text and hash; the texts they're of; each text's number of them."""
+    """Hashes of the distinct shingles of each lower-cased text, in no order; the texts they're of; each text's number of them."""
     codes, distinct, counts = word_codes(pc.ascii_lower(pc.fill_null(texts, "")))
     doc = np.repeat(np.arange(len(counts)), counts)
     if not len(codes):
         return np.zeros(0, dtype=np.uint64), doc, counts
-    hashes = word_hashes(distinct)[codes]
-    place = np.arange(len(codes)) - np.repeat(np.cumsum(counts) - counts, counts)
-    length = np.minimum(counts[doc], words)
-    value = np.zeros(len(codes), dtype=np.uint64)
-    for k in range(words):
-        at = np.minimum(np.arange(len(codes)) + k, len(codes) - 1)
-        with np.errstate(over="ignore"):
-            value = np.where(k < length, mix64(value * np.uint64(31) + hashes[at] + np.uint64(k + 1)), value)
-    starts = place + length <= counts[doc]
-    value, doc = value[starts], doc[starts]
-    order = np.lexsort((value, doc))
+    hashes, ends = word_hashes(distinct)[codes], np.repeat(np.cumsum(counts), counts)
+    place = np.arange(len(codes))
+    starts = np.flatnonzero((place + words <= ends) | ((counts < words)[doc] & (place == ends - counts[doc])))
+    value = np.zeros(len(starts), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(words):
+            at = starts + k
+            inside = at < ends[starts]
+            value += np.where(inside, hashes[np.minimum(at, len(codes) - 1)] * _PLACES[k % 8] + np.uint64(k), np.uint64(0))
+    value, doc = mix64(value), doc[starts]
+    order = np.argsort(value ^ mix64(doc.astype(np.uint64) + np.uint64(7)))
     value, doc = value[order], doc[order]
     fresh = np.ones(len(value), dtype=bool)
     fresh[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
@@ -68,18 +72,19 @@ def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _sums(values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    total = np.zeros(size, dtype=np.uint64)
+    """Sums by place modulo 2^64, in two halves that floats hold exactly."""
+    low = np.bincount(at, (values & np.uint64(0xFFFFFFFF)).astype(np.float64), size).astype(np.uint64)
+    high = np.bincount(at, (values >> np.uint64(32)).astype(np.float64), size).astype(np.uint64)
     with np.errstate(over="ignore"):
-        np.add.at(total, at, values)
-    return total
+        return low + (high << np.uint64(32))
 
 
 def signatures(value: np.ndarray, doc: np.ndarray, size: int) -> list[np.ndarray]:
-    return [_sums(mix64(value ^ np.uint64(salt)), doc, size).view(np.int64) for salt in (0x51ED270B, 0x2545F491)]
+    return [_sums(v, doc, size).view(np.int64) for v in (value, mix64(value ^ np.uint64(0x2545F491)))]
 
 
 def group_counts(value: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
-    group = (mix64(value ^ np.uint64(0x1B873593)) >> np.uint64(57)).astype(np.int64)
+    group = (value >> np.uint64(57)).astype(np.int64)
     return np.bincount(doc * GROUPS + group, minlength=size * GROUPS).reshape(size, GROUPS)
 
 
@@ -255,16 +260,18 @@ def jaccard_groups(docs: DataFrame, percent: int = 90, words: int = 3, id_col: s
         for part in arrow_slices(batches, "_text"):
             value, doc, n = shingle_sets(part.column("_text"), words)
             key, owner = block_keys(value, doc, n, percent)
-            yield pa.RecordBatch.from_pydict({"_block": key, "_s1": signatures(value, doc, len(n))[0][owner]})
+            yield pa.RecordBatch.from_pydict({"_block": key, "_s1": _sums(value, doc, len(n)).view(np.int64)[owner]})
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrow_slices(batches, "_text", 1 << 20):
-            value, _, n = shingle_sets(part.column("_text"), words)
+            value, doc, n = shingle_sets(part.column("_text"), words)
+            value = value[np.argsort(doc, kind="stable")]
             ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
             yield pa.RecordBatch.from_pydict({"_id": part.column("_id"), "_set": pa.ListArray.from_arrays(ends, pa.array(value.view(np.int64)))})
 
     described = source.mapInArrow(describe, "_id long, _n long, _s1 long, _s2 long, _counts binary")
-    rows = checkpointed(described.select("_id", "_n", "_s1", "_s2"))
+    described = checkpointed(described)
+    rows = described.select("_id", "_n", "_s1", "_s2")
     named = F.col("_id") != NO_ID
     nodes = checkpointed(described.where(named & (F.col("_n") > 0)).groupBy("_s1", "_s2").agg(F.min("_id").alias("_node"), F.first("_n").alias("_n"), F.first("_counts").alias("_counts")))
     keys = source.where(named).mapInArrow(keys_of, "_block long, _s1 long")
