@@ -11,9 +11,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import unicodedata
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,20 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+@lru_cache(maxsize=1)
+def newer_letters() -> str:
+    """Letters and numbers of `regex` that the tokenizers library's older tables don't know as such, as ranges of a character class.
+
+    Only those can differ that Python's own table doesn't have yet, so few are asked about.
+    """
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+    unassigned = "".join(c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Cn")
+    found = [c for kind, first in ((r"\p{L}", "a"), (r"\p{N}", "1")) for c in regex.findall(kind, unassigned) if len(split(first + c)) > 1]
+    return "".join(f"\\U{ord(c):08x}" for c in found)
+
+
 class Bpe:
     """A byte-level BPE vocabulary file, with tables for checking proposals."""
 
@@ -80,16 +95,34 @@ class Bpe:
         for b in self.ids:
             self.reach[b[:2]] = max(self.reach.get(b[:2], 1), len(b))
 
+    @cached_property
+    def newer(self) -> regex.Pattern | None:
+        return regex.compile(f"[{newer_letters()}]") if newer_letters() else None
+
+    @cached_property
+    def careful(self) -> regex.Pattern:
+        """The splitting pattern without the newer letters and numbers."""
+        newer = newer_letters()
+        old = {kind: rf"[\p{{{kind}}}--[{newer}]]" for kind in "LN"}
+        other = rf"[[^\s\p{{L}}\p{{N}}]||[{newer}]]"
+        return regex.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", other).replace(r"\p{L}+", f"{old['L']}+").replace(r"\p{N}+", f"{old['N']}+"), regex.V1)
+
     def pieces(self, text: str) -> list[str]:
         """The words of a text that merges don't cross; special tokens stand alone."""
+        split = self.split
+        try:
+            text.encode("latin-1")  # the quick way to see that no letter is new
+        except UnicodeEncodeError:
+            if self.newer is not None and self.newer.search(text):
+                split = self.careful
         if self.special is None or not any(s in text for s in self.specials):
-            return self.split.findall(text)
+            return split.findall(text)
         out: list[str] = []
         for part in self.special.split(text):
             if part in self.specials:
                 out.append(part)
             else:
-                out += self.split.findall(part)
+                out += split.findall(part)
         return out
 
     def propose(self, word: bytes) -> list[int]:
