@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from commonloom.llm.common import arrow_slices, carried, checkpointed, mix64, row_key, with_columns_back, word_codes, word_hashes, words_of
+from commonloom.llm.common import arrow_slices, attach_keyed, carried, checkpointed, join_keyed, mix64, row_key, with_columns_back, word_codes, word_hashes, words_of
 
 #: Words of the phrases that windows are filed under, at most.
 PHRASE = 8
@@ -49,14 +49,14 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def passages(codes: np.ndarray, hashes: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """The passages of a slice of documents: document, first window, number of windows, phrase hash, and whether the phrase stands in it twice.
+    """The passages of a slice of documents: document, first window, number of windows, phrase hash, content hash, and whether the phrase stands in it twice.
 
     `hashes`: of the distinct words that `codes` number.
     """
     n = len(codes)
     none = np.zeros(0, dtype=np.int64)
     if n < window:
-        return none, none, none, none, none.astype(bool)
+        return none, none, none, none, none, none.astype(bool)
     phrase = max(1, min(PHRASE, window // 2))
     doc = np.repeat(np.arange(len(counts)), counts)
     first = np.cumsum(counts) - counts
@@ -73,7 +73,7 @@ def passages(codes: np.ndarray, hashes: np.ndarray, counts: np.ndarray, window:
         done += step
     starts = np.flatnonzero(np.arange(len(least)) + window <= (first + counts)[doc[: len(least)]])
     if not len(starts):
-        return none, none, none, none, none.astype(bool)
+        return none, none, none, none, none, none.astype(bool)
     low = least[starts]
     fresh = np.ones(len(starts), dtype=bool)
     fresh[1:] = (low[1:] != low[:-1]) | (starts[1:] != starts[:-1] + 1) | (doc[starts][1:] != doc[starts][:-1])
@@ -83,7 +83,17 @@ def passages(codes: np.ndarray, hashes: np.ndarray, counts: np.ndarray, window:
     size = np.diff(np.append(begin, len(starts)))
     end = starts[begin + size - 1]
     begin = starts[begin]
-    return doc[begin], begin - first[doc[begin]], size, least[begin].view(np.int64), left[begin] != right[end]
+    return doc[begin], begin - first[doc[begin]], size, least[begin].view(np.int64), _contents(hashes[codes], begin, size + window - 1), left[begin] != right[end]
+
+
+def _contents(words: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A hash of the words of each stretch, from prefix sums of a polynomial modulo 2^64."""
+    base = 0x9E3779B97F4A7C15
+    with np.errstate(over="ignore"):
+        up = np.cumprod(np.full(len(words), base, dtype=np.uint64))
+        down = np.cumprod(np.full(len(words), pow(base, -1, 1 << 64), dtype=np.uint64))
+        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words * up)])
+        return mix64((total[start + length] - total[start]) * down[start] + length.astype(np.uint64)).view(np.int64)
 
 
 def _recurring(texts: list[str], times: np.ndarray, phrase: np.ndarray, window: int) -> list[list[tuple[int, int]]]:
@@ -132,13 +142,14 @@ def _search(window: int):
     """Over distinct passages sorted by phrase: those with recurring windows, and the word spans these cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, str, int]] = []
-        size = 0
+        rows: dict[tuple[int, int], tuple[int, int, str, int]] = {}  # a repeated row's passages come repeatedly
+        size, last = 0, None
 
         def close() -> pa.RecordBatch:
+            held = list(rows.values())
             spans = _recurring([h[2] for h in held], np.array([h[3] for h in held]), np.array([h[0] for h in held], dtype=np.int64), window)
             keep = [(h[0], h[1], s) for h, s in zip(held, spans, strict=True) if s]
-            held.clear()
+            rows.clear()
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([k[0] for k in keep], pa.int64()),
@@ -150,12 +161,12 @@ def _search(window: int):
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("_phrase", "_hash", "_passage", "_times")), strict=True):
-                if size >= SHARD and row[0] != held[-1][0]:
+                if size >= SHARD and row[0] != last:
                     yield close()
                     size = 0
-                held.append(row)
-                size += len(row[2])
-        if held:
+                rows[row[:2]] = row
+                size, last = size + len(row[2]), row[0]
+        if rows:
             yield close()
 
     return run
@@ -168,35 +179,37 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrow_slices(batches, "_text"):
             codes, distinct, counts = word_codes(part.column("_text"))
-            doc, start, size, phrase, twice = passages(codes, word_hashes(distinct), counts, window)
+            doc, start, size, phrase, content, twice = passages(codes, word_hashes(distinct), counts, window)
             keys = {c: part.column(c).take(pa.array(doc)) for c in ("_k1", "_k2")}
-            yield pa.RecordBatch.from_pydict({"_phrase": phrase, "_twice": twice, **keys, "_start": start.astype(np.int32), "_size": size.astype(np.int32)})
+            yield pa.RecordBatch.from_pydict({"_phrase": phrase, "_hash": content, "_twice": twice, **keys, "_start": start.astype(np.int32), "_size": size.astype(np.int32)})
 
-    filed = source.mapInArrow(file, "_phrase long, _twice boolean, _k1 long, _k2 long, _start int, _size int")
+    filed = source.mapInArrow(file, "_phrase long, _hash long, _twice boolean, _k1 long, _k2 long, _start int, _size int")
     again = filed.groupBy("_phrase").agg(F.count(F.lit(1)).alias("_n"), F.max("_twice").alias("_any")).where("_n > 1 OR _any").select("_phrase")
-    places = filed.select("_phrase", "_k1", "_k2", "_start", "_size").join(again, "_phrase")
-    plan = checkpointed(places.distinct().groupBy("_k1", "_k2").agg(F.collect_list(F.struct("_phrase", "_start", "_size")).alias("_plan")))
+    places = checkpointed(filed.select("_phrase", "_hash", "_k1", "_k2", "_start", "_size").join(again, "_phrase"))
+    place = F.struct("_k1", "_k2", "_start", "_size")
+    distinct = places.groupBy("_phrase", "_hash").agg(F.count(F.lit(1)).alias("_times"), F.min(place).alias("_at"))
+    wanted = distinct.groupBy("_at._k1", "_at._k2").agg(F.collect_list(F.struct("_phrase", "_hash", "_times", "_at._start", "_at._size")).alias("_plan"))
+    wanted = checkpointed(wanted)  # of equal passages one is copied
 
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrow_slices(batches, "_text", 1 << 20):
             flat, counts = words_of(part.column("_text"))
             words, first = flat.to_pylist(), (np.cumsum(counts) - counts).tolist()
-            out: dict[str, list] = {c: [] for c in ("_phrase", "_k1", "_k2", "_start", "_passage")}
-            for i, (k1, k2, plan) in enumerate(zip(part.column("_k1").to_pylist(), part.column("_k2").to_pylist(), part.column("_plan").to_pylist(), strict=True)):
+            out: dict[str, list] = {c: [] for c in ("_phrase", "_hash", "_times", "_passage")}
+            for i, plan in enumerate(part.column("_plan").to_pylist()):
                 for p in plan:
                     lo = first[i] + p["_start"]
-                    for c, v in zip(out, (p["_phrase"], k1, k2, p["_start"], " ".join(words[lo : lo + p["_size"] + window - 1])), strict=True):
+                    for c, v in zip(out, (p["_phrase"], p["_hash"], p["_times"], " ".join(words[lo : lo + p["_size"] + window - 1])), strict=True):
                         out[c].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("_phrase", pa.int64()), ("_k1", pa.int64()), ("_k2", pa.int64()), ("_start", pa.int32()), ("_passage", pa.string())]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("_phrase", pa.int64()), ("_hash", pa.int64()), ("_times", pa.int64()), ("_passage", pa.string())]))
 
-    copied = source.join(plan, ["_k1", "_k2"]).mapInArrow(copy, "_phrase long, _k1 long, _k2 long, _start int, _passage string")
-    copied = copied.withColumn("_hash", F.xxhash64("_passage"))
-    distinct = copied.groupBy("_phrase", "_hash", "_passage").agg(F.count(F.lit(1)).alias("_times"))
-    sharded = distinct.repartition("_phrase").sortWithinPartitions("_phrase")
+    holders = join_keyed(source, wanted.select("_k1", "_k2"), ["_k1", "_k2"], "left_semi")
+    copied = holders.join(wanted, ["_k1", "_k2"]).mapInArrow(copy, "_phrase long, _hash long, _times long, _passage string")
+    sharded = copied.repartition("_phrase").sortWithinPartitions("_phrase")
     found = checkpointed(sharded.mapInArrow(_search(window), "_phrase long, _hash long, _spans array<int>"))
-    back = copied.select("_phrase", "_hash", "_k1", "_k2", "_start").join(found, ["_phrase", "_hash"])
+    back = places.select("_phrase", "_hash", "_k1", "_k2", "_start").join(found, ["_phrase", "_hash"])
     moved = back.select("_k1", "_k2", F.transform("_spans", lambda x: x + F.col("_start")).alias("_spans")).distinct()
-    return moved.groupBy("_k1", "_k2").agg(F.collect_list("_spans").alias("removed"))
+    return checkpointed(moved.groupBy("_k1", "_k2").agg(F.collect_list("_spans").alias("removed")))
 
 
 def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", new_text: str = "kept_text") -> DataFrame:
@@ -209,7 +222,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     """
     spans = repeated_spans(docs, window, id_col, text_col)
     rows = docs.select(carried(docs, "n_words", "n_removed", new_text, needed=(id_col, text_col)), *row_key(id_col, text_col))
-    joined = rows.join(spans, ["_k1", "_k2"], "left").select("_row", F.col("_row")[text_col].alias("_text"), "removed")
+    joined = attach_keyed(rows, spans, ["_k1", "_k2"]).select("_row", F.col("_row")[text_col].alias("_text"), "removed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrow_slices(batches, "_text"):
