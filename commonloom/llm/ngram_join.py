@@ -1,7 +1,7 @@
 """N-gram Jaccard join of documents by count vectors in an R-tree.
 
 Documents with equal shingle sets are one node. A node's shingles are hashed into groups. Two sets
-with a Jaccard similarity of 0.9 differ in at most one nineteenth of their summed sizes, so with
+with a Jaccard similarity of j differ in at most (1 - j) / (1 + j) of their summed sizes, so with
 more groups than that number allows, at least one group is the same in both: nodes that share a
 group's content form a block. In each block the nodes' group counts are the points of a packed
 R-tree. The sum of coordinate minima bounds the overlap of two points, and of two boxes, from
@@ -236,7 +236,7 @@ def _candidates(percent: int, every: bool):
     return run
 
 
-def jaccard_groups(docs: DataFrame, percent: int = 90, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_groups(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: the id, `n_shingles`, and `component_id`, the smallest id that can be reached over links.
 
     Two documents link when 100 * overlap >= `percent` * union of their sets of distinct shingles
@@ -245,8 +245,8 @@ def jaccard_groups(docs: DataFrame, percent: int = 90, words: int = 3, id_col: s
     that share an id are one document with several texts. Rows with a null id have no component
     (null) and link with nothing. Other columns are not read; an empty table gives an empty result.
     """
-    if not 53 <= percent <= 100:
-        raise ValueError("percent must be from 53 to 100")  # below, size classes would have to reach further than the next
+    if not 67 <= percent <= 100:
+        raise ValueError("percent must be from 67 to 100")  # below, sets could be similar to such of the next class but one
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.col(text_col).alias("_text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,4 +323,4 @@ def jaccard_groups(docs: DataFrame, percent: int = 90, words: int = 3, id_col: s
 
 
 def op2(docs: DataFrame) -> DataFrame:
-    return jaccard_groups(docs)
+    return jaccard_groups(docs, percent=90, words=3)

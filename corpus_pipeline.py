@@ -25,7 +25,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id; of rows with the same id and text one."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8), that with the smallest id; of rows with the same id and text one."""
     stays = ngram_join.jaccard_groups(docs).where("component_id = doc_id OR doc_id IS NULL").groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_keep")).agg(F.count(F.lit(1)).alias("_rows"))
     stays = checkpointed(stays)
     keyed = docs.withColumn("_keep", F.coalesce("doc_id", F.lit(NO_ID)))

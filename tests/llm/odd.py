@@ -32,7 +32,7 @@ def odd_rows(seed=1):
     line, passage, base = "A line that a good many documents have in common, Ä too.", prose(60), prose(120)
     texts = [None, "", " ", "\n", "\n\n \t", "one", "one two", "One  two", "one two three", "a b c a b c", "x" * 300, "no\x00nul", "<|endoftext|> x", " nb sp", " ", "É é ß SS"]
     texts += [prose(rng.randint(1, 90)) for _ in range(12)]
-    texts += [f"{prose(20)}\n  {line.upper() if i % 2 and False else line} \n{prose(9)}" for i in range(7)]
+    texts += [f"{prose(20)}\n  {line.upper() if i % 2 else line} \n{prose(9)}" for i in range(7)]
     texts += [f"{prose(10)}\n{line}\n{line.replace('A line', 'a LINE')}\n"]
     texts += [f"{prose(30)} {passage} {prose(30)}" for _ in range(3)]
     texts += [base, base, base.upper().replace("ẞ", "ß"), base + " tail", "head " + base, base.replace(" ", "\n")]

@@ -77,11 +77,11 @@ def test_golomb_codes():
     assert len(unary) + len(rest) < 5000 * 4
 
 
-def expected_groups(rows, percent=90):
+def expected_groups(rows, percent=90, n=3):
     sets = defaultdict(list)
     for i, t in rows:
         if i is not None:
-            sets[i].append(shingles(t))
+            sets[i].append(shingles(t, n))
     parent = {i: i for i in sets}
 
     def top(x):
@@ -94,17 +94,19 @@ def expected_groups(rows, percent=90):
             if a < b and any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
                 a0, b0 = top(a), top(b)
                 parent[max(a0, b0)] = min(a0, b0)
-    return Counter((i, len(shingles(t)), None if i is None else top(i)) for i, t in rows)
+    return Counter((i, len(shingles(t, n)), None if i is None else top(i)) for i, t in rows)
 
 
 def test_jaccard_groups(spark):
     got = by_row(ngram_join.op2(odd_docs(spark)), "doc_id", "n_shingles", "component_id")
     assert got == expected_groups(odd_rows())
     assert any(i != c for i, _, c in got if i is not None)
+    got = by_row(ngram_join.jaccard_groups(odd_docs(spark)), "doc_id", "n_shingles", "component_id")
+    assert got == expected_groups(odd_rows(), 80, 5)
 
 
-@pytest.mark.parametrize("tile", [8, 4096])
-def test_jaccard_groups_of_many_near_copies(spark, monkeypatch, tile):
+@pytest.mark.parametrize(("tile", "percent"), [(8, 90), (4096, 90), (4096, 80)])
+def test_jaccard_groups_of_many_near_copies(spark, monkeypatch, tile, percent):
     """A large group around the threshold, in one tile and in many."""
     import random
 
@@ -119,7 +121,7 @@ def test_jaccard_groups_of_many_near_copies(spark, monkeypatch, tile):
     rows += [(1000 + i, " ".join(f"u{rng.randrange(50)}" for _ in range(rng.randrange(4, 25)))) for i in range(60)]
     monkeypatch.setattr(ngram_join, "TILE", tile)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert by_row(ngram_join.op2(docs), "doc_id", "n_shingles", "component_id") == expected_groups(rows)
+    assert by_row(ngram_join.jaccard_groups(docs, percent, 3), "doc_id", "n_shingles", "component_id") == expected_groups(rows, percent)
     with pytest.raises(ValueError):
         ngram_join.jaccard_groups(docs, percent=40)
 
@@ -127,21 +129,22 @@ def test_jaccard_groups_of_many_near_copies(spark, monkeypatch, tile):
 def test_bounds_lose_no_pair():
     """Similar sets always share a block, and the bound never rules them out."""
     rng = np.random.default_rng(1)
-    for n in (9, 10, 11, 15, 16, 23, 40, 300):
+    for n, percent in [(n, p) for n in (3, 5, 9, 10, 11, 15, 16, 23, 40, 300) for p in (80, 90)]:
         for _ in range(40):
             a = rng.integers(0, 2**63, n).astype(np.uint64)
-            grow = int(rng.integers(0, n // 9 + 1))
-            drop = int(rng.integers(0, max(1, n // 9 - grow + 1)))
+            most = n * (100 - percent) // percent
+            grow = int(rng.integers(0, most + 1))
+            drop = int(rng.integers(0, max(1, most - grow + 1)))
             b = np.concatenate([a[drop:], rng.integers(0, 2**63, grow).astype(np.uint64)])
             both = len(np.intersect1d(a, b))
-            if 190 * both < 90 * (len(a) + len(b)) or (len(a) == len(b) == both):
+            if (100 + percent) * both < percent * (len(a) + len(b)) or (len(a) == len(b) == both):
                 continue
             value, doc = np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)])
             sizes = np.array([len(a), len(b)])
-            keys, owner = ngram_join.block_keys(value, doc, sizes, 90)
+            keys, owner = ngram_join.block_keys(value, doc, sizes, percent)
             assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
             counts = ngram_join.group_counts(value, doc, 2)
-            assert sum(len(i) for i, _ in ngram_join.surviving_pairs(counts, sizes, None, 90)) == 1
+            assert sum(len(i) for i, _ in ngram_join.surviving_pairs(counts, sizes, None, percent)) == 1
 
 
 def test_components(spark):

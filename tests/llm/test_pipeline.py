@@ -25,8 +25,8 @@ def test_stages(spark, tmp_path):
     assert set(kept["quality"]) < set(before["quality"])
     assert set(kept["lines"]) == set(before["lines"])
     near, gone = kept["near_copies"], set(before["near_copies"]) - set(kept["near_copies"])
-    sets = {i: shingles(t) for i, t in before["near_copies"].items()}
-    alike = lambda a, b: a and b and 100 * len(a & b) >= 90 * len(a | b)
+    sets = {i: shingles(t, 5) for i, t in before["near_copies"].items()}
+    alike = lambda a, b: a and b and 100 * len(a & b) >= 80 * len(a | b)
     assert gone and all(any(j != i and alike(sets[i], sets[j]) for j in sets) for i in gone)
     ids = sorted(near)
     assert not any(alike(sets[i], sets[j]) for n, i in enumerate(ids) for j in ids[:n])
