@@ -195,15 +195,35 @@ def distinct_count_by_extremes(query: Query) -> DataFrame | None:
 RULES = (adjacent_to_lead, distinct_to_semi_join, count_before_join, distinct_count_by_extremes)
 
 
-def optimise(query: Query) -> DataFrame:
-    """The plan of the first rule that holds, else the query as written."""
+def _bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of a plan's size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _kept_is_small(query: Query) -> bool:
+    """Would the side that the keys come from be broadcast? Then the join as written shuffles nothing, and there is nothing to save."""
+    left, right = _sides(query)
+    kept, keys = (query.left, left) if left else (query.right, right)
+    joined = [o.column if isinstance(o, Gap) else o.left if left else o.right for o in query.on]
+    spark = kept.df.sparkSession
+    return query.how == "inner" and _bytes(kept.rows().select(*{*keys, *joined})) <= spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
+def choose(query: Query, always: bool = False) -> tuple[str, DataFrame]:
+    """The first rule that holds and its plan; the query as written if none does, or if it is cheap as it stands (unless `always`)."""
     for rule in RULES:
         plan = rule(query)
         if plan is not None:
-            return plan
-    return build(query)
+            if not always and rule in (distinct_to_semi_join, count_before_join) and _kept_is_small(query):
+                break
+            return rule.__name__, plan
+    return "as written", build(query)
+
+
+def optimise(query: Query, always: bool = False) -> DataFrame:
+    return choose(query, always)[1]
 
 
-def explain_choice(query: Query) -> str:
-    """The rule that `optimise` takes, or `as written`."""
-    return next((rule.__name__ for rule in RULES if rule(query) is not None), "as written")
+def explain_choice(query: Query, always: bool = False) -> str:
+    """The name of the rule that `optimise` takes, or `as written`."""
+    return choose(query, always)[0]

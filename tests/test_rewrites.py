@@ -93,6 +93,17 @@ def test_rules_leave_what_they_must(spark):
     assert Q.explain_choice(Q.Query(l, r, EQUAL, keys=("l.ak", "r.bk"), distinct=True)) == "as written"
 
 
+def test_choice_goes_by_size(spark):
+    _, r = pair(spark, 3)
+    few = Q.Relation("l", spark.range(100).selectExpr("id", "id % 7 AS ak"))
+    small = Q.Query(few, r, EQUAL, keys=("l.ak",), count=Q.Count("n"))
+    assert Q.explain_choice(small) == "as written"
+    assert Q.explain_choice(small, always=True) == "count_before_join"
+    large = Q.Relation("l", spark.range(10_000_000).selectExpr("id", "id % 7 AS ak"))
+    assert Q.explain_choice(Q.Query(large, r, EQUAL, keys=("l.ak",), count=Q.Count("n"))) == "count_before_join"
+    assert Q.explain_choice(Q.Query(large, r, EQUAL, keys=("l.ak",), distinct=True)) == "distinct_to_semi_join"
+
+
 def test_order_and_limit_stay(spark):
     l, r = pair(spark, 2)
     query = Q.Query(l, r, EQUAL, keys=("l.ak",), count=Q.Count("n"), order_by=(F.desc("n"), F.asc("ak")), limit=2)
