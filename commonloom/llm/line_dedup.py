@@ -33,12 +33,10 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col
     in_doc = W.partitionBy("_h1", "_h2", "_k1").orderBy("_pos", "_k2")
     first = ranged.withColumn("_nth", F.row_number().over(in_doc)).where("_nth = 1")
     common = first.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_docs"), F.max("_k1").alias("_keeper")).where(F.col("_docs") >= min_docs)
-    gone = ranged.join(common.select("_h1", "_h2", "_keeper"), ["_h1", "_h2"]).where("_k1 <> _keeper").select("_k1", "_k2", "_pos").distinct()
-    words = gone.groupBy("_k1", "_k2", F.expr("_pos div 64").cast("int").alias("_word")).agg(
-        F.expr("bit_or(shiftleft(1L, _pos % 64))").alias("_bits"), F.count(F.lit(1)).alias("_n")
-    )
+    gone = ranged.join(common.select("_h1", "_h2", "_keeper"), ["_h1", "_h2"]).where("_k1 <> _keeper").select("_k1", "_k2", "_pos")
+    words = gone.groupBy("_k1", "_k2", F.expr("_pos div 64").cast("int").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, _pos % 64))").alias("_bits"))
     return words.groupBy("_k1", "_k2").agg(
-        F.sum("_n").alias("n_dropped"),
+        F.sum(F.bit_count("_bits")).alias("n_dropped"),
         F.map_from_entries(F.collect_list(F.struct("_word", F.bitwise_not("_bits").alias("_bits")))).alias("keep_words"),
     )
 
