@@ -165,9 +165,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 SMALL = 1_000_000
 
 
-def join_keyed(large: DataFrame, keyed: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def join_keyed(large: DataFrame, keyed: DataFrame, on: list[str], how: str = "inner", most: int | None = None) -> DataFrame:
     """Joins with a table of few narrow columns that has been kept (see `checkpointed`): broadcast if its counted rows are few, else shuffled."""
-    return large.join(F.broadcast(keyed) if keyed.count() <= SMALL else keyed, on, how)
+    return large.join(F.broadcast(keyed) if keyed.count() <= (SMALL if most is None else most) else keyed, on, how)
 
 
 def attach_keyed(large: DataFrame, keyed: DataFrame, on: list[str]) -> DataFrame:

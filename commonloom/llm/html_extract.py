@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from commonloom.llm.common import arrow_slices, carried, with_columns_back
+from commonloom.llm.common import arrow_slices, carried, checkpointed, join_keyed, with_columns_back
 
 #: Names of HTML elements by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,6 +36,9 @@ MARKS = frozenset(
     "pager pagination popup promo promoted promotion related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
 
+#: Hosts up to which their paths are broadcast (some tens of MB); with more, pages are shuffled by host.
+HOSTS = 200_000
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z][^<>]*>?""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[a-z]+")
@@ -231,7 +234,8 @@ def html_extract(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     the new ones are replaced.
     """
     rows = pages.select(carried(pages, new_text, "n_chars", needed=(url_col, html_col)), _host(F.col(url_col)).alias("_host"))
-    joined = rows.join(host_paths(pages, url_col, html_col), "_host", "left").select("_row", F.col("_row")[html_col].alias("_html"), "_path")
+    paths = checkpointed(host_paths(pages, url_col, html_col))
+    joined = join_keyed(rows, paths, ["_host"], "left", most=HOSTS).select("_row", F.col("_row")[html_col].alias("_html"), "_path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrow_slices(batches, "_html"):
