@@ -41,6 +41,7 @@ HOSTS = 200_000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z][^<>]*>?""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+SPEAK_OF = frozenset("has have with without no not".split())
 _WORD = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
 
@@ -63,8 +64,9 @@ class Node:
 
 
 def _marked(attributes: dict[str, str]) -> bool:
-    words = {w for name in ("class", "id", "role") for w in _WORD.findall(attributes.get(name, ""))}
-    return bool(words & MARKS) or "hidden" in attributes
+    """Does a class, id or role name something that isn't article? `has-sidebar` and the like only speak of it."""
+    names = (_WORD.findall(n) for a in ("class", "id", "role") for n in attributes.get(a, "").split())
+    return "hidden" in attributes or any(w and w[0] not in SPEAK_OF and not MARKS.isdisjoint(w) for w in names)
 
 
 def parse(page: str) -> Node:

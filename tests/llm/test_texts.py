@@ -122,6 +122,7 @@ PAGES = [
     ("odd", "<p"),
     ("odd", "<" * 300),
     ("http://c.org", "<div>" * 3000 + "deep enough to count as text" + "</div>" * 3000),
+    ("http://e.org", "<div class='has-sidebar no-comments'><p>the article</p><div class='sidebar-left'><p>side</p></div></div>"),
     ("http://d.org", "<script>" + "never closed <p>x</p>"),
 ]
 
@@ -137,7 +138,8 @@ def test_extraction(spark):
     assert got[2] == "ok"  # by the vote of the host's other pages
     assert got[3] == "Title Body x y"
     assert got[4] == "just text © inline"
-    assert got[5] == got[6] == got[10] == ""
+    assert got[5] == got[6] == got[11] == ""
+    assert got[10] == "the article"
     assert got[9] == "deep enough to count as text"
     assert all(r["n_chars"] == len(r["text"]) for r in out.collect())
     assert html_extract.op9(pages.limit(0)).count() == 0
