@@ -63,18 +63,35 @@ def with_columns_back(df: DataFrame, *new: Column | str) -> DataFrame:
     return df.select(*(F.col("_row")[f.name].alias(f.name) for f in row if f.name not in names), *new)
 
 
-def arrow_slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Returns what a worker process has freed to the machine, so that one task's peak isn't held through the next ones."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def text_of(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column of a batch, or of the rows it carries (see `carried`)."""
+    return batch.column(name) if name in batch.schema.names else pc.struct_field(batch.column("_row"), [name])
+
+
+def arrow_slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about `most_bytes` of text, so that memory follows neither the batch size nor long rows' neighbours."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(text_of(batch, text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -23,10 +23,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commonloom.llm.common import NO_ID, arrow_slices, checkpointed, components, join_keyed, mix64, word_codes, word_hashes
+from commonloom.llm.common import NO_ID, arrow_slices, checkpointed, components, give_back, join_keyed, mix64, word_codes, word_hashes
 
-#: Coordinates of a point.
-GROUPS = 128
+#: Coordinates of a point, by the size of its set: half the size, within these bounds.
+LEAST_GROUPS, MOST_GROUPS = 128, 1024
 #: Groups more than the pigeonholes need, so that a shared group needn't be an empty one.
 SPARE = 2
 #: Members of a block that one task compares; larger blocks are cut into tiles, and pairs of tiles compared.
@@ -83,9 +83,21 @@ def signatures(value: np.ndarray, doc: np.ndarray, size: int) -> list[np.ndarray
     return [_sums(v, doc, size).view(np.int64) for v in (value, mix64(value ^ np.uint64(0x2545F491)))]
 
 
-def group_counts(value: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
-    group = (value >> np.uint64(57)).astype(np.int64)
-    return np.bincount(doc * GROUPS + group, minlength=size * GROUPS).reshape(size, GROUPS)
+def group_counts(value: np.ndarray, doc: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Each set's point. Groups go by the hash's leading bits, so that halves of a longer point add up to a shorter one."""
+    groups = np.full(len(n), LEAST_GROUPS, dtype=np.int64)
+    while (grow := (groups < MOST_GROUPS) & (2 * groups < n)).any():
+        groups[grow] *= 2
+    first = np.cumsum(groups) - groups
+    shift = np.uint64(64) - np.log2(groups).astype(np.uint64)
+    at = first[doc] + (value >> shift[doc]).astype(np.int64)
+    return np.split(np.bincount(at, minlength=int(groups.sum())).astype("<u4"), first[1:])
+
+
+def same_length(points: list[np.ndarray]) -> np.ndarray:
+    """The points of a block as rows, longer ones folded to the shortest."""
+    least = min(map(len, points))
+    return np.stack([p.reshape(least, -1).sum(axis=1) for p in points])
 
 
 def block_keys(value: np.ndarray, doc: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +154,7 @@ def surviving_pairs(points: np.ndarray, n: np.ndarray, side: np.ndarray | None,
         fits = (100 * most[a] >= percent * least[a:]) & overlap_allows(np.minimum(tops[a], tops[a:]).sum(axis=1), least[a] + least[a:], percent)
         for b in np.flatnonzero(fits) + a:
             two = np.arange(cuts[b], min(cuts[b] + LEAF, len(n)))
-            bound = np.minimum(points[one][:, None, :], points[two][None, :, :]).sum(axis=2)
+            bound = np.stack([np.minimum(p, points[two]).sum(axis=1) for p in points[one]])
             good = overlap_allows(bound, n[one][:, None] + n[two][None, :], percent)
             if a == b:
                 good &= np.triu(np.ones_like(good), 1)
@@ -176,7 +188,7 @@ def _candidates(percent: int, every: bool):
     """Over rows sorted by block and tiles: candidate pairs of each block, a spanning forest of them or `every` one between different labels."""
 
     def of_unit(rows: dict[str, np.ndarray]) -> tuple[list, list]:
-        node, n, points, label = rows["_node"], rows["_n"], rows["_points"], rows["_label"]
+        node, n, points, label = rows["_node"], rows["_n"], same_length(rows["_points"].tolist()), rows["_label"]
         side = rows["_side"] if (rows["_side"] != rows["_side"][0]).any() else None
         left, right, parent = [], [], {}
         for i, j in surviving_pairs(points, n, side, percent):
@@ -211,7 +223,9 @@ def _candidates(percent: int, every: bool):
             if not batch.num_rows:
                 continue
             rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
-            rows["_points"] = np.frombuffer(b"".join(batch.column("_counts").to_pylist()), dtype="<u4").reshape(-1, GROUPS)
+            points = np.empty(batch.num_rows, dtype=object)
+            points[:] = [np.frombuffer(c, dtype="<u4") for c in batch.column("_counts").to_pylist()]
+            rows["_points"] = points
             fresh = (rows["_block"][1:] != rows["_block"][:-1]) | (rows["_a"][1:] != rows["_a"][:-1]) | (rows["_b"][1:] != rows["_b"][:-1])
             ends = np.flatnonzero(fresh) + 1
             same = held and all(held[-1][c][-1] == rows[c][0] for c in ("_block", "_a", "_b"))
@@ -232,6 +246,7 @@ def _candidates(percent: int, every: bool):
             before = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
             if (out := close(before, np.array([len(before["_n"])]))) is not None:
                 yield out
+        give_back()
 
     return run
 
@@ -253,8 +268,13 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, words: int = 5, id_col: s
         for part in arrow_slices(batches, "_text"):
             value, doc, n = shingle_sets(part.column("_text"), words)
             s1, s2 = signatures(value, doc, len(n))
-            counts = group_counts(value, doc, len(n)).astype("<u4")
-            yield pa.RecordBatch.from_pydict({"_id": part.column("_id"), "_n": n, "_s1": s1, "_s2": s2, "_counts": pa.array([c.tobytes() for c in counts], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"_id": part.column("_id"), "_n": n, "_s1": s1, "_s2": s2})
+
+    def counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in arrow_slices(batches, "_text"):
+            value, doc, n = shingle_sets(part.column("_text"), words)
+            counts = [c.tobytes() for c in group_counts(value, doc, n)]
+            yield pa.RecordBatch.from_pydict({"_node": part.column("_id"), "_n": n, "_counts": pa.array(counts, pa.binary())}).filter(pa.array(n > 0))
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrow_slices(batches, "_text"):
@@ -269,22 +289,26 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, words: int = 5, id_col: s
             ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
             yield pa.RecordBatch.from_pydict({"_id": part.column("_id"), "_set": pa.ListArray.from_arrays(ends, pa.array(value.view(np.int64)))})
 
-    described = source.mapInArrow(describe, "_id long, _n long, _s1 long, _s2 long, _counts binary")
-    described = checkpointed(described)
-    rows = described.select("_id", "_n", "_s1", "_s2")
+    rows = checkpointed(source.mapInArrow(describe, "_id long, _n long, _s1 long, _s2 long"))
     named = F.col("_id") != NO_ID
-    nodes = checkpointed(described.where(named & (F.col("_n") > 0)).groupBy("_s1", "_s2").agg(F.min("_id").alias("_node"), F.first("_n").alias("_n"), F.first("_counts").alias("_counts")))
+    nodes = rows.where(named & (F.col("_n") > 0)).groupBy("_s1", "_s2").agg(F.min("_id").alias("_node"))
     keys = source.where(named).mapInArrow(keys_of, "_block long, _s1 long")
     shared = keys.groupBy("_block").agg(F.min("_s1").alias("_low"), F.max("_s1").alias("_high")).where("_low <> _high").select("_block")
-    inside = keys.join(shared, "_block").distinct()
-    members = checkpointed(inside.join(nodes.select("_s1", "_node"), "_s1").select("_block", "_node"))
+    inside = join_keyed(keys, checkpointed(shared), ["_block"]).distinct()
+    members = checkpointed(inside.join(nodes.select("_s1", "_node"), "_s1").select("_block", "_node").distinct())
+    # near copies share most of their groups: of blocks with the same members one is enough
+    alike = members.groupBy("_block").agg(F.count(F.lit(1)).alias("_m"), F.bit_xor(F.xxhash64("_node")).alias("_x"), F.bit_xor(F.xxhash64("_node", F.lit(1))).alias("_y"))
+    single = alike.where("_m > 1").groupBy("_m", "_x", "_y").agg(F.min("_block").alias("_block")).select("_block")
+    members = checkpointed(join_keyed(members, checkpointed(single), ["_block"], "left_semi"))
+    wanted = checkpointed(members.select(F.col("_node").alias("_id")).distinct())
+    counted = checkpointed(join_keyed(source, wanted, ["_id"]).mapInArrow(counts_of, "_node long, _n long, _counts binary"))
 
     tiles = F.ceil(F.col("_m") / TILE).cast("int")
     huge = members.groupBy("_block").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > TILE).select("_block", tiles.alias("_tiles"))
     spread = members.join(huge, "_block", "left").withColumn("_tile", F.when(F.col("_tiles").isNull(), 0).otherwise(F.pmod(F.xxhash64("_node"), F.coalesce("_tiles", F.lit(1)))).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.coalesce("_tiles", F.lit(1)) - 1))
     spread = spread.withColumn("_other", other).select("_block", F.least("_tile", "_other").alias("_a"), F.greatest("_tile", "_other").alias("_b"), F.col("_tile").alias("_side"), "_node")
-    points = spread.join(nodes.select("_node", "_n", "_counts"), "_node")
+    points = spread.join(counted, "_node")
     unit = ["_block", "_a", "_b"]
     shape = "_block long, _a int, _b int, a long, b long"
 
