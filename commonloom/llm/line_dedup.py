@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from commonloom.llm.common import WHITE, ascii_lower, carried, row_key, with_columns_back
+from commonloom.llm.common import WHITE, ascii_lower, carried, checkpointed, join_keyed, row_key, with_columns_back
 
 
 def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,11 +29,12 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col
     lines = rows.select("_k1", "_k2", F.posexplode("_lines").alias("_pos", "_line")).where(F.char_length("_line") >= min_chars)
     keyed = lines.select("_k1", "_k2", "_pos", ascii_lower(F.btrim("_line", F.lit(WHITE))).alias("_key")).where(F.char_length("_key") >= min_chars)
     hashed = keyed.select(F.xxhash64(F.lit(1), "_key").alias("_h1"), F.xxhash64(F.lit(2), "_key").alias("_h2"), "_k1", "_k2", "_pos")
+    hashed = checkpointed(hashed)
     ranged = hashed.repartitionByRange("_h1", "_h2", F.col("_k1").desc())
     in_doc = W.partitionBy("_h1", "_h2", "_k1").orderBy("_pos", "_k2")
     first = ranged.withColumn("_nth", F.row_number().over(in_doc)).where("_nth = 1")
     common = first.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_docs"), F.max("_k1").alias("_keeper")).where(F.col("_docs") >= min_docs)
-    gone = ranged.join(common.select("_h1", "_h2", "_keeper"), ["_h1", "_h2"]).where("_k1 <> _keeper").select("_k1", "_k2", "_pos")
+    gone = join_keyed(hashed, checkpointed(common.select("_h1", "_h2", "_keeper")), ["_h1", "_h2"]).where("_k1 <> _keeper").select("_k1", "_k2", "_pos")
     words = gone.groupBy("_k1", "_k2", F.expr("_pos div 64").cast("int").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, _pos % 64))").alias("_bits"))
     return words.groupBy("_k1", "_k2").agg(
         F.sum(F.bit_count("_bits")).alias("n_dropped"),
