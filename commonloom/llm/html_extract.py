@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from commonloom.llm.common import arrow_slices, carried, checkpointed, join_keyed, with_columns_back
+from commonloom.llm.common import arrow_slices, carried, checkpointed, join_keyed, text_of, with_columns_back
 
 #: Names of HTML elements by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -237,11 +237,11 @@ def html_extract(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     """
     rows = pages.select(carried(pages, new_text, "n_chars", needed=(url_col, html_col)), _host(F.col(url_col)).alias("_host"))
     paths = checkpointed(host_paths(pages, url_col, html_col))
-    joined = join_keyed(rows, paths, ["_host"], "left", most=HOSTS).select("_row", F.col("_row")[html_col].alias("_html"), "_path")
+    joined = join_keyed(rows, paths, ["_host"], "left", most=HOSTS).select("_row", "_path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in arrow_slices(batches, "_html"):
-            texts = [extract(p, path) if p else "" for p, path in zip(part.column("_html").to_pylist(), part.column("_path").to_pylist(), strict=True)]
+        for part in arrow_slices(batches, html_col):
+            texts = [extract(p, path) if p else "" for p, path in zip(text_of(part, html_col).to_pylist(), part.column("_path").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"_row": part.column("_row"), new_text: pa.array(texts, pa.string()), "n_chars": np.array([len(t) for t in texts], dtype=np.int64)})
 
     schema = T.StructType([joined.schema["_row"], T.StructField(new_text, T.StringType()), T.StructField("n_chars", T.LongType())])

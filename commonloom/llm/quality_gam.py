@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from commonloom.llm.common import arrow_slices, carried, held_out, may_learn, with_columns_back, word_codes
+from commonloom.llm.common import arrow_slices, carried, held_out, may_learn, text_of, with_columns_back, word_codes
 from commonloom.llm.quality_rules import covered, duplicate_lines, repeat_lengths
 
 FEATURES = (
@@ -211,11 +211,11 @@ def score_quality(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col:
 
     Null and empty texts are scored as empty ones. A column of that name is replaced.
     """
-    rows = docs.select(carried(docs, "quality_score", needed=(id_col, text_col)), F.col(text_col).alias("_text"))
+    rows = docs.select(carried(docs, "quality_score", needed=(id_col, text_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in arrow_slices(batches, "_text"):
-            scores = model.score(text_features(part.column("_text")))
+        for part in arrow_slices(batches, text_col):
+            scores = model.score(text_features(text_of(part, text_col)))
             yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(scores, pa.float64())], names=["_row", "quality_score"])
 
     schema = T.StructType([rows.schema["_row"], T.StructField("quality_score", T.DoubleType())])

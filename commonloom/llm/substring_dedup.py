@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from commonloom.llm.common import arrow_slices, attach_keyed, carried, checkpointed, join_keyed, mix64, row_key, with_columns_back, word_codes, word_hashes, words_of
+from commonloom.llm.common import arrow_slices, attach_keyed, carried, checkpointed, join_keyed, mix64, row_key, text_of, with_columns_back, word_codes, word_hashes, words_of
 
 #: Words of the phrases that windows are filed under, at most.
 PHRASE = 8
@@ -222,11 +222,11 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     """
     spans = repeated_spans(docs, window, id_col, text_col)
     rows = docs.select(carried(docs, "n_words", "n_removed", new_text, needed=(id_col, text_col)), *row_key(id_col, text_col))
-    joined = attach_keyed(rows, spans, ["_k1", "_k2"]).select("_row", F.col("_row")[text_col].alias("_text"), "removed")
+    joined = attach_keyed(rows, spans, ["_k1", "_k2"]).select("_row", "removed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in arrow_slices(batches, "_text"):
-            flat, counts = words_of(part.column("_text"))
+        for part in arrow_slices(batches, text_col):
+            flat, counts = words_of(text_of(part, text_col))
             first = np.cumsum(counts) - counts
             edge = np.zeros(len(flat) + 1, dtype=np.int64)
             for i, lists in enumerate(part.column("removed").to_pylist()):
