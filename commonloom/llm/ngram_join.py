@@ -29,6 +29,8 @@ from commonloom.llm.common import NO_ID, arrow_slices, checkpointed, components,
 LEAST_GROUPS, MOST_GROUPS = 128, 1024
 #: Groups more than the pigeonholes need, so that a shared group needn't be an empty one.
 SPARE = 2
+#: Shared blocks, of one number each, up to which they are broadcast (about 100 MB); with more, keys are shuffled.
+BLOCKS = 4_000_000
 #: Members of a block that one task compares; larger blocks are cut into tiles, and pairs of tiles compared.
 TILE = 4096
 LEAF = 32
@@ -294,7 +296,7 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, words: int = 5, id_col: s
     nodes = rows.where(named & (F.col("_n") > 0)).groupBy("_s1", "_s2").agg(F.min("_id").alias("_node"))
     keys = source.where(named).mapInArrow(keys_of, "_block long, _s1 long")
     shared = keys.groupBy("_block").agg(F.min("_s1").alias("_low"), F.max("_s1").alias("_high")).where("_low <> _high").select("_block")
-    inside = join_keyed(keys, checkpointed(shared), ["_block"]).distinct()
+    inside = join_keyed(keys, checkpointed(shared), ["_block"], most=BLOCKS).distinct()
     members = checkpointed(inside.join(nodes.select("_s1", "_node"), "_s1").select("_block", "_node").distinct())
     # near copies share most of their groups: of blocks with the same members one is enough
     alike = members.groupBy("_block").agg(F.count(F.lit(1)).alias("_m"), F.bit_xor(F.xxhash64("_node")).alias("_x"), F.bit_xor(F.xxhash64("_node", F.lit(1))).alias("_y"))
