@@ -1,17 +1,19 @@
 """Main text of web pages, by consensus of the pages of a host.
 
-First every page scores its own containers by the text of their blocks. Each page votes for the
-generalised tag-class path of its best container, and Spark adds up the votes by host. Then each
-page is read again and the container on its host's winning path is taken; a page without that
-path falls back to its own best container.
+First every page scores its own containers by the text of their blocks. From the best one it
+climbs to the whole article around it, votes for that one's generalised tag-class path, and Spark
+adds up the votes by host. Then each page is read again and the container on its host's winning
+path is taken, with what of the article stands around it on this page; a page without that path
+falls back to its own best container.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ DROPPED = frozenset("aside audio button canvas dialog embed footer form head ifr
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 CONTAINERS = frozenset("article body center div main section td".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+HEADLINES = frozenset("h1 h2".split())
 #: Words of a class, id or role that mark what isn't part of an article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu menus modal nav navbar navigation newsletter notice notices overlay "
@@ -187,6 +190,97 @@ def best_container(root: Node) -> Node | None:
     return max(found, key=lambda c: c.score) if found else None
 
 
+def measured(root: Node) -> dict[int, tuple[int, int, bool]]:
+    """By kept node (its `id`): letters outside and inside links, and whether it has a heading; of a header only its headings count.
+
+    Linked headlines count as outside.
+    """
+    out: dict[int, tuple[int, int, bool]] = {}
+    todo: list[tuple[Node, bool, bool, bool, bool]] = [(root, False, False, False, False)]
+    while todo:
+        node, linked, muted, headline, done = todo.pop()
+        if not done:
+            headline = headline or node.tag in HEADLINES
+            linked = (linked or node.tag == "a") and not headline
+            muted = (muted or node.tag == "header") and node.tag not in HEADINGS
+            todo.append((node, linked, muted, headline, True))
+            todo += [(c, linked, muted, headline, False) for c in node.parts if isinstance(c, Node) and not c.dropped]
+            continue
+        free = link = 0
+        heading = False
+        for part in node.parts:
+            if isinstance(part, str):
+                size = 0 if muted else len(part.strip())
+                free, link = (free, link + size) if linked else (free + size, link)
+            elif part is not None and not part.dropped:
+                f, k, has = out[id(part)]
+                free, link, heading = free + f, link + k, heading or has
+        out[id(node)] = (free, link, heading or (node.tag in HEADINGS and free + link > 0))
+    return out
+
+
+def whole_article(node: Node, sizes: Callable[[], dict[int, tuple[int, int, bool]]], to_body: bool = True) -> Node:
+    """The article that a container is the longest part of.
+
+    That is the nearest article or main around it, or the next one if text stands between the
+    two; a headline beside an article that has none belongs to it. Where there is neither, it is
+    the outermost ancestor inside the body that adds text other than lists of links, and with
+    `to_body` the body itself if such text stands right in it, if that comes from a section beside
+    a section, or if it has the heading that the container lacks.
+    """
+
+    def adds(part: object) -> bool:
+        if isinstance(part, str):
+            return any(map(str.isalnum, part))
+        return part is not None and not part.dropped and sizes()[id(part)][0] > sizes()[id(part)][1]
+
+    def own(part: object) -> bool:
+        return not (isinstance(part, Node) and (part.tag in CONTAINERS or part.tag == "header")) and adds(part)
+
+    def headed(part: object) -> bool:
+        return isinstance(part, Node) and not part.dropped and sizes()[id(part)][2]
+
+    best = node
+    while best is not None and best.tag not in ("article", "main"):
+        best = best.parent
+    inside = best is not None
+    best = best if inside else node
+    child, above, between = best, best.parent, False
+    while above is not None and above.tag not in ("html", "body", ""):
+        others = [part for part in above.parts if part is not child]
+        if not inside:
+            if any(map(adds, others)):
+                best = above
+        else:
+            between = between or any(map(own, others))
+            if above.tag in ("article", "main") and between:
+                best, between = above, False
+            elif any(headed(p) and own(p) for p in others) and not headed(best):
+                best, between = above, False
+        child, above = above, above.parent
+    if above is None or not to_body or best.tag in ("main", "html", "body", ""):
+        return best
+    others = [part for part in above.parts if part is not child and adds(part)]
+    lacks = any(map(headed, others)) and not headed(best)
+    if inside:
+        return above if lacks and any(headed(p) and own(p) for p in others) else best
+    return above if lacks or any(own(p) or (isinstance(p, Node) and p.tag == child.tag == "section") for p in others) else best
+
+
+def whole_articles(nodes: list[Node], root: Node) -> list[Node]:
+    """The articles of some containers in page order, each once."""
+    sizes = cache(partial(measured, root))
+    found = {id(whole): whole for whole in (whole_article(node, sizes) for node in nodes)}
+
+    def outermost(node: Node) -> bool:
+        up = node.parent
+        while up is not None and id(up) not in found:
+            up = up.parent
+        return up is None
+
+    return [n for n in found.values() if outermost(n)]
+
+
 def on_path(root: Node, path: str) -> list[Node]:
     """The outermost kept nodes on a generalised path, in page order."""
     level = [root]
@@ -199,16 +293,18 @@ def extract(page: str, path: str | None) -> str:
     """The main text of a page, with its host's winning path if there is one."""
     root = parse(page)
     if path:
-        text = " ".join(t for node in on_path(root, path) for t in blocks_of(node))
+        on = on_path(root, path)
+        text = " ".join(t for node in (whole_articles(on, root) if on else ()) for t in blocks_of(node))
         if text:
             return text
     best = best_container(root)
-    return " ".join(blocks_of(best if best is not None else root))
+    return " ".join(t for node in (whole_articles([best], root) if best is not None else [root]) for t in blocks_of(node))
 
 
 def page_vote(page: str) -> tuple[str, float]:
-    best = best_container(parse(page))
-    return (best.path(), best.score) if best is not None else ("", 0.0)
+    root = parse(page)
+    best = best_container(root)
+    return (whole_article(best, cache(partial(measured, root)), to_body=False).path(), best.score) if best is not None else ("", 0.0)
 
 
 def _host(url):

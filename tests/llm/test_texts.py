@@ -145,6 +145,35 @@ def test_extraction(spark):
     assert html_extract.op9(pages.limit(0)).count() == 0
 
 
+LONG = "one of the many sentences that the story itself is told in. " * 12
+STORY = LONG.strip()
+WHOLE = [
+    ("article", f"<body><nav><a>Home</a></nav><article><h1>Head</h1><p>lead</p><div class=body><p>{LONG}</p></div></article></body>", f"Head lead {STORY}"),
+    ("post", f"<body><div class=post><div class=lead>lead</div><div class=body>{LONG}</div></div></body>", f"lead {STORY}"),
+    ("header", f"<body><div class=post><header><h1>Head</h1><p>by</p></header><div class=body>{LONG}</div></div></body>", f"Head {STORY}"),
+    ("linked", f"<body><div class=post><h1><a href=x>Head</a></h1><div class=body>{LONG}</div></div></body>", f"Head {STORY}"),
+    ("sections", f"<body><main><section class=a>first</section><section class=b>{LONG}</section><section class=c>last</section></main><footer>foot</footer></body>", f"first {STORY} last"),
+    ("bare", f"<body><section class=a>first</section><section class=b>{LONG}</section><div class=teaser>no</div></body>", f"first {STORY} no"),
+    ("cells", f"<body><div class=page><table><tr><td class=l>left</td><td class=r>{LONG}</td></tr><tr><td>under</td></tr></table></div></body>", f"left {STORY} under"),
+    ("cells2", f"<body><article><h1>Head</h1><table><tr><td>left</td><td>{LONG}</td></tr></table></article></body>", f"Head left {STORY}"),
+    ("links", f"<body><div class=page><div class=top><a>Home</a> | <a>About</a></div><div class=body>{LONG}</div></div></body>", STORY),
+    ("beside", f"<body><h1>Head</h1><p>lead</p><div class=body>{LONG}</div></body>", f"Head lead {STORY}"),
+    ("head", f"<body><div class=top><h1>Head</h1></div><div class=body>{LONG}</div></body>", f"Head {STORY}"),
+    ("nested", f"<body><main><h1>Head</h1><article><div>{LONG}</div></article></main></body>", f"Head {STORY}"),
+    ("outside", f"<body><div class=w><h1>Head</h1><article><div>{LONG}</div></article></div><div class=teaser>no</div></body>", f"Head {STORY}"),
+    ("stays", f"<body><p>site</p><article><h1>Head</h1><div>{LONG}</div></article><div class=teaser>no</div></body>", f"Head {STORY}"),
+]
+
+
+def test_extraction_takes_whole_articles(spark):
+    """A long inner container takes nothing from the article around it, also where only some pages of a host have a lead."""
+    rows = [(n, f"http://{name}.org/{k}", page) for n, (name, page, _) in enumerate(WHOLE) for k in range(3)]
+    plain = f"<body><div class=post><div class=body>{LONG}</div></div></body>"
+    rows += [(100 + k, f"http://post.org/plain{k}", plain) for k in range(9)]
+    got = {(r["page_id"], r["text"]) for r in html_extract.op9(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {(n, want) for n, (_, _, want) in enumerate(WHOLE)} | {(100 + k, STORY) for k in range(9)}
+
+
 def brute_repeats(w):
     n, longest = len(w), [0] * len(w)
     for i in range(n):
