@@ -139,7 +139,14 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     table = bpe(path)
     ranks = {b: i for i, b in table.bytes_of.items() if i not in table.specials.values()}
     coder = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=table.specials)
-    return lambda text: coder.encode_to_numpy(text, allowed_special="all")
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return coder.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # its regex gives up on about a million white-space characters in a row
+            return table.encode_batch([text])[0]
+
+    return encode
 
 
 def pack(docs: DataFrame, capacity: int = 1024, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:

@@ -111,6 +111,19 @@ def test_packing(spark, library, capacity):
     assert packing.pack(odd_docs(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000 + "a", "\n" * 2_000_000, "b<|endoftext|>" + " \n\t" * 700_000 + "b c"])
+def test_very_long_white_space(library, text):
+    assert packing.encoder(PATH)(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_very_long_white_space(spark):
+    texts = [" " * 1_200_000 + "a", "short"]
+    pieces = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    for i, text in enumerate(texts):
+        got = sorted((p["start"], p["ids"]) for p in pieces if p["doc_id"] == i)
+        assert [x for _, ids in got for x in ids] == [*bpe.Bpe(PATH).encode_batch([text])[0].tolist(), 0]
+
+
 PAGES = [
     ("http://a.org/1", "<html><body><nav><p>menu menu menu menu</p></nav><div class='post-12 main'><h2>Head</h2><p>One &amp; <b>t</b>wo<br>three<p>four</div><div class=sidebar><p>side side side</p></div></body></html>"),
     ("http://A.org/2", "<html><body><div class='main post-7'><h2>Next</h2><p>Text  of\n two &lt;x&gt;</p><div id='comments'><p>a very long comment that goes on and on and on and on</p></div></div><div class=teaser><p>short</p></div></body>"),
