@@ -5,6 +5,10 @@ share; neighbouring windows with the same phrase form one passage. Only passages
 met elsewhere go on, as text, to the shard of that phrase, equal ones added up on the way. A shard
 confirms which windows recur, compiles the recurring stretches into an automaton and streams its
 passages through it. What it finds is carried back to all documents that hold the passage.
+
+A phrase with many distinct passages, such as a line that stands in a third of all documents, is
+split: its windows are counted one by one in Spark, and those that recur are filed as passages
+under their own hashes, so that a phrase never brings more than a bounded number to one shard.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ PHRASE = 8
 MOST = 64
 #: Letters of passages for which one automaton is compiled, about.
 SHARD = 1 << 20
+#: Distinct passages of a phrase up to which they go to its shard; beyond that they are split into windows.
+CROWD = 1024
 
 
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -172,9 +178,37 @@ def _search(window: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows `_k1, _k2` (see `row_key`) of texts with repeats, and `removed`: their sorted, disjoint word spans as from, to, from, to, ..."""
-    source = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
+def _without_crowds(source: DataFrame, places: DataFrame, window: int) -> DataFrame:
+    """`places` with the passages of phrases that have more than `CROWD` distinct ones replaced by their recurring windows, each under a phrase of its own."""
+    counted = places.select("_phrase", "_hash").distinct().groupBy("_phrase").agg(F.count(F.lit(1)).alias("_n"))
+    crowds = checkpointed(counted.where(F.col("_n") > CROWD).select("_phrase"))
+    if crowds.isEmpty():
+        return places
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in arrow_slices(batches, "_text"):
+            codes, distinct, counts = word_codes(part.column("_text"))
+            hashes = word_hashes(distinct)
+            doc, start, size, phrase, _, _ = passages(codes, hashes, counts, window)
+            ends = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(size)])
+            begin = (np.cumsum(counts) - counts)[doc] + start
+            at = np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])
+            windows = gram_hashes(hashes[codes], window).view(np.int64)[at] if len(at) else np.zeros(0, dtype=np.int64)
+            keys = {c: part.column(c).take(pa.array(doc)) for c in ("_k1", "_k2")}
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(windows))
+            yield pa.RecordBatch.from_pydict({"_phrase": phrase, "_windows": lists, **keys, "_start": start.astype(np.int32)})
+
+    held = source.mapInArrow(split, "_phrase long, _windows array<long>, _k1 long, _k2 long, _start int")
+    held = checkpointed(join_keyed(held, crowds, ["_phrase"], "left_semi"))
+    single = held.select("_phrase", "_k1", "_k2", "_start", F.posexplode("_windows").alias("_at", "_hash"))
+    single = single.select(F.xxhash64("_phrase", "_hash").alias("_phrase"), "_hash", "_k1", "_k2", (F.col("_start") + F.col("_at")).alias("_start"), F.lit(1).alias("_size"))
+    again = checkpointed(single.groupBy("_phrase", "_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_phrase", "_hash"))
+    recurring = checkpointed(join_keyed(single, again, ["_phrase", "_hash"]))
+    return join_keyed(places, crowds, ["_phrase"], "left_anti").unionByName(recurring)
+
+
+def filed_passages(source: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """The places of passages that may have repeats, and the distinct passages as text with the number of their places."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrow_slices(batches, "_text"):
@@ -186,6 +220,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     filed = source.mapInArrow(file, "_phrase long, _hash long, _twice boolean, _k1 long, _k2 long, _start int, _size int")
     again = filed.groupBy("_phrase").agg(F.count(F.lit(1)).alias("_n"), F.max("_twice").alias("_any")).where("_n > 1 OR _any").select("_phrase")
     places = checkpointed(filed.select("_phrase", "_hash", "_k1", "_k2", "_start", "_size").join(again, "_phrase"))
+    places = _without_crowds(source, places, window)
     place = F.struct("_k1", "_k2", "_start", "_size")
     distinct = places.groupBy("_phrase", "_hash").agg(F.count(F.lit(1)).alias("_times"), F.min(place).alias("_at"))
     wanted = distinct.groupBy("_at._k1", "_at._k2").agg(F.collect_list(F.struct("_phrase", "_hash", "_times", "_at._start", "_at._size")).alias("_plan"))
@@ -205,6 +240,13 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
 
     holders = join_keyed(source, wanted.select("_k1", "_k2"), ["_k1", "_k2"], "left_semi")
     copied = holders.join(wanted, ["_k1", "_k2"]).mapInArrow(copy, "_phrase long, _hash long, _times long, _passage string")
+    return places, copied
+
+
+def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows `_k1, _k2` (see `row_key`) of texts with repeats, and `removed`: their sorted, disjoint word spans as from, to, from, to, ..."""
+    source = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
+    places, copied = filed_passages(source, window)
     sharded = copied.repartition("_phrase").sortWithinPartitions("_phrase")
     found = checkpointed(sharded.mapInArrow(_search(window), "_phrase long, _hash long, _spans array<int>"))
     back = places.select("_phrase", "_hash", "_k1", "_k2", "_start").join(found, ["_phrase", "_hash"])

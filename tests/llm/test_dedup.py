@@ -180,6 +180,26 @@ def test_substring_dedup_of_short_windows(spark, window):
         assert got[i] == (sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g))
 
 
+@pytest.mark.parametrize("small", [0, common.SMALL])
+def test_substring_dedup_of_a_phrase_in_many_documents(spark, monkeypatch, small):
+    """No phrase brings more than a bounded number of distinct passages to a shard, and the results stay the same."""
+    monkeypatch.setattr(common, "SMALL", small)
+    monkeypatch.setattr(substring_dedup, "CROWD", 10)
+    line = " ".join(f"line{n}" for n in range(20))
+    rows = [(i, " ".join([*(f"a{i}x{n}" for n in range(20)), line, *(f"b{i}x{n}" for n in range(20))])) for i in range(80)]
+    rows += [(i, " ".join([*(f"c{i // 2}x{n}" for n in range(12 + i % 2)), line, *(f"d{i // 2}x{n}" for n in range(9))])) for i in range(200, 220)]
+    rows += [(300, rows[0][1]), (300, rows[0][1]), (None, rows[3][1]), (301, None), (302, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = Counter()
+    for (i, _), (w, gone) in zip(rows, removed_by_windows([t for _, t in rows]), strict=True):
+        want[i, len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone, strict=True) if not g))] += 1
+    assert by_row(substring_dedup.op8(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+    source = docs.select(*common.row_key("doc_id", "text"), F.col("text").alias("_text")).where("_text IS NOT NULL")
+    places, copied = substring_dedup.filed_passages(source, 35)
+    assert copied.groupBy("_phrase").agg(F.countDistinct("_hash").alias("n")).agg(F.max("n")).first()[0] <= 10
+    assert places.count() >= copied.count() > 0
+
+
 def test_substring_dedup_keeps_all_columns(spark):
     docs = odd_docs(spark)
     out = substring_dedup.substring_dedup(docs)
