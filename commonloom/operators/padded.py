@@ -6,7 +6,7 @@ counts is always asked of the mark, never of the values.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -38,6 +38,22 @@ def distinct_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return padded(df).withColumn(SEL, F.col(SEL) & (F.row_number().over(order) == 1))
 
 
+def group_rows(df: DataFrame, keys: Sequence[str], aggregates: Mapping[str, Column], order: Sequence[str]) -> DataFrame:
+    """Every row with the aggregates of its group's marked rows; the mark stays on one marked row of each group, the first in `order`."""
+    rows = padded(df)
+    marked = rows.filter(SEL).groupBy(*keys).agg(*(value.alias(name) for name, value in aggregates.items()))
+    first = F.row_number().over(W.partitionBy(*keys, SEL).orderBy(*order)) == 1
+    joined = rows.withColumn(SEL, F.col(SEL) & first).alias("l").join(marked.alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys], "left")
+    return joined.select("l.*", *(F.coalesce(F.col(f"r.{n}"), F.lit(0)).alias(n) for n in aggregates))
+
+
+def join_rows(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
+    """All pairs of rows, marked where both are and the condition holds: the size shows nothing, at the price of the product. For small relations."""
+    other = padded(right).withColumnRenamed(SEL, "_other")
+    pairs = padded(left).crossJoin(other)
+    return pairs.withColumn(SEL, F.col(SEL) & F.col("_other") & F.coalesce(condition, F.lit(False))).drop("_other")
+
+
 def count_rows(df: DataFrame, name: str = "cnt") -> DataFrame:
     return df.agg(F.count_if(SEL).alias(name))
 

@@ -1,12 +1,14 @@
-"""Queries over two relations as data, and the rewrites that Catalyst doesn't make.
+"""Forms of joins that Catalyst doesn't find by itself, as functions of DataFrames.
 
-`build` gives the plan as written. Each rule gives an equivalent plan with less to join or to
-shuffle, or None where its conditions don't hold; `optimise` takes the first that does.
+Each gives what the plain join gives, with less to join or to shuffle. Which physical join and
+which broadcast carry them out stays with Catalyst and adaptive execution. They pay where both
+sides are shuffled anyway; where the side of the keys is small enough to be broadcast, the plain
+join shuffles nothing either and may be as quick.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
@@ -15,215 +17,43 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-@dataclass(frozen=True)
-class Relation:
-    """A relation under a name, with conditions on its own columns (by bare name)."""
+def distinct_of_join(kept: DataFrame, other: DataFrame, on: Column | Sequence[Column], keys: Sequence[str]) -> DataFrame:
+    """DISTINCT `keys` of `kept` over its inner join with `other`, as a semi-join: partners never multiply rows."""
+    return kept.join(other, reduce(and_, [on] if isinstance(on, Column) else on), "left_semi").select(*keys).distinct()
 
-    name: str
-    df: DataFrame
-    where: tuple[Column, ...] = ()
 
-    def rows(self) -> DataFrame:
-        return self.df.filter(reduce(and_, self.where)) if self.where else self.df
+def count_of_join(kept: DataFrame, other: DataFrame, on: Mapping[str, str], keys: Sequence[str], name: str, of: str | None = None, how: str = "inner") -> DataFrame:
+    """COUNT by `keys` of `kept` over its equi-join with `other`, which is counted by its join keys first; the counts are added up.
 
-
-@dataclass(frozen=True)
-class On:
-    """`left.column op right.column + plus`, op one of = < <= > >=."""
-
-    left: str
-    op: str
-    right: str
-    plus: int = 0
-
-
-@dataclass(frozen=True)
-class Gap:
-    """`low <= right.column - left.column <= high`."""
-
-    column: str
-    low: object
-    high: object
-
-
-@dataclass(frozen=True)
-class Count:
-    """COUNT(*), COUNT(column) or COUNT(DISTINCT column) under a name; columns as `relation.column`."""
-
-    name: str
-    of: str | None = None
-    distinct: bool = False
-
-
-@dataclass(frozen=True)
-class Query:
-    """SELECT [DISTINCT] keys, count FROM left JOIN right ON ... [GROUP BY keys] [ORDER BY] [LIMIT]; keys as `relation.column`."""
-
-    left: Relation
-    right: Relation
-    on: tuple[On | Gap, ...]
-    keys: tuple[str, ...] = ()
-    distinct: bool = False
-    count: Count | None = None
-    how: str = "inner"
-    order_by: tuple[Column, ...] = ()
-    limit: int | None = None
-
-
-def _compare(a: Column, op: str, b: Column) -> Column:
-    return {"=": a == b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
-
-
-def _condition(on: On | Gap, left: Column, right: Column) -> Column:
-    if isinstance(on, Gap):
-        return (right - left).between(on.low, on.high)
-    return _compare(left, on.op, right + on.plus if on.plus else right)
-
-
-def _sides(query: Query) -> tuple[list[str], list[str]]:
-    split = [k.split(".", 1) for k in query.keys]
-    if bad := {r for r, _ in split} - {query.left.name, query.right.name}:
-        raise ValueError(f"keys of unknown relations {sorted(bad)}")
-    return [c for r, c in split if r == query.left.name], [c for r, c in split if r == query.right.name]
-
-
-def _finish(query: Query, df: DataFrame) -> DataFrame:
-    df = df.orderBy(*query.order_by) if query.order_by else df
-    return df if query.limit is None else df.limit(query.limit)
-
-
-def build(query: Query) -> DataFrame:
-    """The query as written: join, then group or make distinct."""
-    left, right = query.left.rows().alias(query.left.name), query.right.rows().alias(query.right.name)
-    conditions = []
-    for on in query.on:
-        names = (on.column, on.column) if isinstance(on, Gap) else (on.left, on.right)
-        conditions.append(_condition(on, F.col(f"{query.left.name}.{names[0]}"), F.col(f"{query.right.name}.{names[1]}")))
-    joined = left.join(right, reduce(and_, conditions), query.how)
-    keys = [F.col(k) for k in query.keys]
-    if query.count is None:
-        out = joined.select(*keys)
-        return _finish(query, out.distinct() if query.distinct else out)
-    of = F.lit(1) if query.count.of is None else F.col(query.count.of)
-    count = F.count_distinct(of) if query.count.distinct else F.count(of)
-    return _finish(query, joined.groupBy(*keys).agg(count.alias(query.count.name)))
-
-
-def _equalities(query: Query) -> list[On] | None:
-    """The join's conditions if all are plain equalities."""
-    return list(query.on) if all(isinstance(o, On) and o.op == "=" and not o.plus for o in query.on) else None
-
-
-def distinct_to_semi_join(query: Query) -> DataFrame | None:
-    """DISTINCT keys of one side of an inner join: that side semi-joined with the other, then distinct. Partners are never multiplied."""
-    left, right = _sides(query)
-    if not query.distinct or query.count or query.how != "inner" or (left and right) or not query.keys:
-        return None
-    kept, other, keys = (query.left, query.right, left) if left else (query.right, query.left, right)
-    conditions = []
-    for on in query.on:
-        mine, theirs = (on.column, on.column) if isinstance(on, Gap) else (on.left, on.right)
-        conditions.append(_condition(on, F.col(f"{query.left.name}.{mine}"), F.col(f"{query.right.name}.{theirs}")))
-    found = kept.rows().alias(kept.name).join(other.rows().alias(other.name), reduce(and_, conditions), "left_semi")
-    return _finish(query, found.select(*keys).distinct())
-
-
-def count_before_join(query: Query) -> DataFrame | None:
-    """COUNT by keys of one side of an equi-join: the other side is counted by its join keys first, and the counts added up.
-
-    A left join that counts rows gives 1, and one that counts a column of the right side 0, to
-    rows without a partner. Null join keys have no partner.
+    `on`: columns of `kept` to those of `other`; `of`: a column of `other` to count, else rows. A
+    left join that counts rows gives 1, and one that counts a column 0, to rows without a partner;
+    an inner join drops them. Null join keys have no partner.
     """
-    left, right = _sides(query)
-    equal = _equalities(query)
-    if query.count is None or query.count.distinct or equal is None or (left and right) or not query.keys:
-        return None
-    outer = query.how in ("left", "left_outer")
-    if query.how != "inner" and not (outer and left):
-        return None
-    swap = bool(right)
-    kept, other, keys = (query.right, query.left, right) if swap else (query.left, query.right, left)
-    mine, theirs = [o.right if swap else o.left for o in equal], [o.left if swap else o.right for o in equal]
-    of = query.count.of
-    if of is not None and of.split(".", 1)[0] != other.name:
-        return None
-    counted = F.count(F.lit(1)) if of is None else F.count(of.split(".", 1)[1])
-    counts = other.rows().groupBy(*(F.col(c).alias(f"_j{i}") for i, c in enumerate(theirs))).agg(counted.alias("_n"))
-    joined = kept.rows().join(counts, reduce(and_, (F.col(m) == F.col(f"_j{i}") for i, m in enumerate(mine))), "left" if outer else "inner")
+    if how not in ("inner", "left"):
+        raise ValueError(f"join must be inner or left, not {how}")
+    counted = F.count(F.lit(1) if of is None else F.col(of))
+    counts = other.groupBy(*(F.col(c).alias(f"_j{i}") for i, c in enumerate(on.values()))).agg(counted.alias("_n"))
+    joined = kept.join(counts, reduce(and_, (F.col(c) == F.col(f"_j{i}") for i, c in enumerate(on))), how)
     alone = F.lit(1 if of is None else 0).cast("long")
-    return _finish(query, joined.groupBy(*keys).agg(F.sum(F.coalesce("_n", alone)).alias(query.count.name)))
+    return joined.groupBy(*keys).agg(F.sum(F.coalesce("_n", alone)).alias(name))
 
 
-def adjacent_to_lead(query: Query, row: str = "row_no") -> DataFrame | None:
-    """DISTINCT keys of a relation joined with itself on the next row number: one window over the equal keys instead of a join.
+def with_next_row(rows: DataFrame, equal: Sequence[str], row: str, columns: Sequence[str]) -> DataFrame:
+    """A relation joined with itself on equal columns and the next number in `row`, as one window: each row with the next one's `columns` as `next_<name>`.
 
-    Needs row numbers that don't repeat within the equal keys, which the caller answers for.
+    Numbers must not repeat within the equal columns. Rows without a next one, and with a null
+    among the equal columns, are left out, as the join would.
     """
-    left, right = _sides(query)
-    same = query.left.df is query.right.df and query.left.where is query.right.where
-    step = [o for o in query.on if isinstance(o, On) and o.op == "=" and o.plus == -1 and o.left == o.right == row]
-    equal = [o for o in query.on if isinstance(o, On) and o.op == "=" and not o.plus and o.left == o.right]
-    rest = [o for o in query.on if o not in step and o not in equal]
-    if not (query.distinct and same and step and equal) or query.count or query.how != "inner" or any(isinstance(o, On) and o.plus for o in rest):
-        return None
-    names = sorted({row, *right, *(o.column if isinstance(o, Gap) else o.right for o in rest)})
-    window = W.partitionBy(*(o.left for o in equal)).orderBy(row)
-    rows = query.left.rows().filter(reduce(and_, (F.col(o.left).isNotNull() for o in equal)))
-    rows = rows.withColumn("_next", F.lead(F.struct(*names)).over(window)).filter(F.col(f"_next.{row}") == F.col(row) + 1)
-    for o in rest:
-        mine, theirs = (o.column, o.column) if isinstance(o, Gap) else (o.left, o.right)
-        rows = rows.filter(_condition(o, F.col(mine), F.col(f"_next.{theirs}")))
-    keys = (F.col(c if r == query.left.name else f"_next.{c}").alias(c) for r, c in (k.split(".", 1) for k in query.keys))
-    return _finish(query, rows.select(*keys).distinct())
-
-
-def distinct_count_by_extremes(query: Query) -> DataFrame | None:
-    """COUNT(DISTINCT key) over l.key = r.key AND l.a <= r.b: each side keeps one row a key, the least a and the largest b."""
-    if query.count is None or not query.count.distinct or query.keys or query.how != "inner" or len(query.on) != 2:
-        return None
-    equal = [o for o in query.on if isinstance(o, On) and o.op == "=" and not o.plus]
-    span = [o for o in query.on if isinstance(o, On) and o.op in ("<", "<=", ">", ">=") and not o.plus]
-    if len(equal) != 1 or len(span) != 1 or query.count.of not in (f"{query.left.name}.{equal[0].left}", f"{query.right.name}.{equal[0].right}"):
-        return None
-    low, high = (F.min, F.max) if span[0].op.startswith("<") else (F.max, F.min)
-    left = query.left.rows().groupBy(F.col(equal[0].left).alias("_k")).agg(low(span[0].left).alias("_a"))
-    right = query.right.rows().groupBy(F.col(equal[0].right).alias("_k")).agg(high(span[0].right).alias("_b"))
-    met = left.join(right, "_k").filter(_compare(F.col("_a"), span[0].op, F.col("_b")))
-    return _finish(query, met.agg(F.count(F.lit(1)).alias(query.count.name)))
-
-
-RULES = (adjacent_to_lead, distinct_to_semi_join, count_before_join, distinct_count_by_extremes)
-
-
-def _bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a plan's size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def _kept_is_small(query: Query) -> bool:
-    """Would the side that the keys come from be broadcast? Then the join as written shuffles nothing, and there is nothing to save."""
-    left, right = _sides(query)
-    kept, keys = (query.left, left) if left else (query.right, right)
-    joined = [o.column if isinstance(o, Gap) else o.left if left else o.right for o in query.on]
-    spark = kept.df.sparkSession
-    return query.how == "inner" and _bytes(kept.rows().select(*{*keys, *joined})) <= spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-
-
-def choose(query: Query, always: bool = False) -> tuple[str, DataFrame]:
-    """The first rule that holds and its plan; the query as written if none does, or if it is cheap as it stands (unless `always`)."""
-    for rule in RULES:
-        plan = rule(query)
-        if plan is not None:
-            if not always and rule in (distinct_to_semi_join, count_before_join) and _kept_is_small(query):
-                break
-            return rule.__name__, plan
-    return "as written", build(query)
-
-
-def optimise(query: Query, always: bool = False) -> DataFrame:
-    return choose(query, always)[1]
-
-
-def explain_choice(query: Query, always: bool = False) -> str:
-    """The name of the rule that `optimise` takes, or `as written`."""
-    return choose(query, always)[0]
+    window = W.partitionBy(*equal).orderBy(row)
+    known = rows.filter(reduce(and_, (F.col(c).isNotNull() for c in equal)))
+    found = known.withColumn("_next", F.lead(F.struct(row, *(c for c in columns if c != row))).over(window)).filter(F.col(f"_next.{row}") == F.col(row) + 1)
+    return found.select("*", *(F.col(f"_next.{c}").alias(f"next_{c}") for c in columns)).drop("_next")
+
+
+def distinct_count_by_extremes(left: DataFrame, right: DataFrame, key: str, left_value: str, op: str, right_value: str, name: str) -> DataFrame:
+    """COUNT(DISTINCT key) over equal keys and `left_value op right_value` (< <= > >=): each side keeps one row a key, the one most likely to fit."""
+    low, high = (F.min, F.max) if op in ("<", "<=") else (F.max, F.min)
+    a = left.groupBy(F.col(key).alias("_k")).agg(low(left_value).alias("_a"))
+    b = right.groupBy(F.col(key).alias("_k")).agg(high(right_value).alias("_b"))
+    fits = {"<": F.col("_a") < F.col("_b"), "<=": F.col("_a") <= F.col("_b"), ">": F.col("_a") > F.col("_b"), ">=": F.col("_a") >= F.col("_b")}[op]
+    return a.join(b, "_k").filter(fits).agg(F.count(F.lit(1)).alias(name))

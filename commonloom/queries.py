@@ -47,50 +47,78 @@ def money(c: str):
     return F.col(c).cast("decimal(18,2)")
 
 
-# --- the named queries: as `optimise` chooses by size, always rewritten, and as written (`_naive`)
+# --- the named queries: rewritten (also under their old names ending in `_rewritten`), and as written (`_naive`)
 
 
-def q1(t: Tables) -> Q.Query:
-    return Q.Query(Q.Relation("o", t.orders), Q.Relation("l", t.lineitem), (Q.On("o_orderkey", "=", "l_orderkey"),), keys=("o.o_custkey",), distinct=True)
+def _purchases(t: Tables) -> DataFrame:
+    return t.events.filter("event_type = 'purchase'").select("user_id", "ts", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("row_no"))
 
 
-def q2(t: Tables, how: str = "inner", of: str | None = None) -> Q.Query:
-    return Q.Query(Q.Relation("o", t.orders), Q.Relation("l", t.lineitem), (Q.On("o_orderkey", "=", "l_orderkey"),), keys=("o.o_custkey",), count=Q.Count("cnt", of), how=how)
+def _cdiff(t: Tables) -> DataFrame:
+    gap = (F.col("next_ts") - F.col("ts")).between(F.expr("INTERVAL '1' DAY"), F.expr("INTERVAL '3' DAY"))
+    return R.distinct(Q.with_next_row(_purchases(t), ["user_id"], "row_no", ["ts"]), "user_id", selected=gap)
 
 
-def cdiff(t: Tables) -> Q.Query:
-    numbered = t.events.filter("event_type = 'purchase'").select("user_id", "ts", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("row_no"))
-    side = Q.Relation("r1", numbered)
-    gap = Q.Gap("ts", F.expr("INTERVAL '1' DAY"), F.expr("INTERVAL '3' DAY"))
-    return Q.Query(side, Q.Relation("r2", numbered, side.where), (Q.On("user_id", "=", "user_id"), Q.On("row_no", "=", "row_no", -1), gap), keys=("r1.user_id",), distinct=True)
+def _cdiff_naive(t: Tables) -> DataFrame:
+    a, b = _purchases(t).alias("r1"), _purchases(t).alias("r2")
+    gap = (F.col("r2.ts") - F.col("r1.ts")).between(F.expr("INTERVAL '1' DAY"), F.expr("INTERVAL '3' DAY"))
+    return R.distinct(R.join(a, b, F.col("r1.user_id") == F.col("r2.user_id"), F.col("r2.row_no") == F.col("r1.row_no") + 1, gap).select("r1.user_id"))
 
 
-def aspirin(t: Tables) -> Q.Query:
-    clicks, buys = Q.Relation("d", t.events, (F.col("event_type") == "click", F.col("value") > 80)), Q.Relation("m", t.events, (F.col("event_type") == "purchase", F.col("value") > 80))
-    return Q.Query(clicks, buys, (Q.On("user_id", "=", "user_id"), Q.On("ts", "<=", "ts")), count=Q.Count("cnt", "d.user_id", True))
+def _of_type(t: Tables, kind: str) -> DataFrame:
+    return R.where(t.events, F.col("event_type") == kind, F.col("value") > 80)
 
 
+def _aspirin_naive(t: Tables) -> DataFrame:
+    d, m = _of_type(t, "click").alias("d"), _of_type(t, "purchase").alias("m")
+    return R.group(R.join(d, m, F.col("d.user_id") == F.col("m.user_id"), F.col("d.ts") <= F.col("m.ts")), [], F.count_distinct("d.user_id").alias("cnt"))
+
+
+def _lines(t: Tables, how: str = "inner") -> DataFrame:
+    return R.join(t.orders, t.lineitem, _ON_ORDER(), how=how)
+
+
+_ON_ORDER = lambda: F.col("o_orderkey") == F.col("l_orderkey")
+_BY_ORDER = {"o_orderkey": "l_orderkey"}
+_ROWS, _COLUMN = (lambda: F.count(F.lit(1)).alias("cnt")), (lambda: F.count("l_orderkey").alias("cnt"))
 _NAMED = {
-    "q1_distinct_join": (q1, "SELECT DISTINCT o_custkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey"),
-    "q2_join_group_count": (q2, "SELECT o_custkey, count(*) AS cnt FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey"),
-    "q2_left_count_rows": (lambda t: q2(t, "left"), "SELECT o_custkey, count(*) AS cnt FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey"),
-    "q2_left_count_column": (lambda t: q2(t, "left", "l.l_orderkey"), "SELECT o_custkey, count(l_orderkey) AS cnt FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey"),
+    "q1_distinct_join": (
+        lambda t: Q.distinct_of_join(t.orders, t.lineitem, _ON_ORDER(), ["o_custkey"]),
+        lambda t: R.distinct(_lines(t), "o_custkey"),
+        "SELECT DISTINCT o_custkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
+    ),
+    "q2_join_group_count": (
+        lambda t: Q.count_of_join(t.orders, t.lineitem, _BY_ORDER, ["o_custkey"], "cnt"),
+        lambda t: R.group(_lines(t), ["o_custkey"], _ROWS()),
+        "SELECT o_custkey, count(*) AS cnt FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey",
+    ),
+    "q2_left_count_rows": (
+        lambda t: Q.count_of_join(t.orders, t.lineitem, _BY_ORDER, ["o_custkey"], "cnt", how="left"),
+        lambda t: R.group(_lines(t, "left"), ["o_custkey"], _ROWS()),
+        "SELECT o_custkey, count(*) AS cnt FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey",
+    ),
+    "q2_left_count_column": (
+        lambda t: Q.count_of_join(t.orders, t.lineitem, _BY_ORDER, ["o_custkey"], "cnt", of="l_orderkey", how="left"),
+        lambda t: R.group(_lines(t, "left"), ["o_custkey"], _COLUMN()),
+        "SELECT o_custkey, count(l_orderkey) AS cnt FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey",
+    ),
     "recurrent_cdiff": (
-        cdiff,
+        _cdiff,
+        _cdiff_naive,
         "WITH rcd AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS row_no FROM events WHERE event_type = 'purchase') "
         "SELECT DISTINCT r1.user_id FROM rcd r1 JOIN rcd r2 ON r1.user_id = r2.user_id AND r2.row_no = r1.row_no + 1 "
         "WHERE r2.ts - r1.ts >= INTERVAL '1' DAY AND r2.ts - r1.ts <= INTERVAL '3' DAY",
     ),
     "aspirin_count": (
-        aspirin,
+        lambda t: Q.distinct_count_by_extremes(_of_type(t, "click"), _of_type(t, "purchase"), "user_id", "ts", "<=", "ts", "cnt"),
+        _aspirin_naive,
         "SELECT count(DISTINCT d.user_id) AS cnt FROM events d JOIN events m ON d.user_id = m.user_id AND d.ts <= m.ts "
         "WHERE d.event_type = 'click' AND d.value > 80 AND m.event_type = 'purchase' AND m.value > 80",
     ),
 }
-for _name, (_spec, _sql) in _NAMED.items():
-    query(_sql, _name)(lambda t, spec=_spec: Q.optimise(spec(t)))
-    query(_sql, f"{_name}_rewritten")(lambda t, spec=_spec: Q.optimise(spec(t), always=True))
-    query(_sql, f"{_name}_naive")(lambda t, spec=_spec: Q.build(spec(t)))
+for _name, (_rewritten, _naive, _sql) in _NAMED.items():
+    for _key, _form in ((_name, _rewritten), (f"{_name}_rewritten", _rewritten), (f"{_name}_naive", _naive)):
+        query(_sql, _key)(_form)
 
 
 @query("SELECT DISTINCT l_suppkey FROM lineitem WHERE l_linenumber = 1")
@@ -151,23 +179,23 @@ _Q13 = (
 )
 
 
-def q13(t: Tables) -> Q.Query:
-    orders = Q.Relation("o", t.orders, (F.col("o_orderpriority") != "1-URGENT",))
-    return Q.Query(Q.Relation("c", t.customer), orders, (Q.On("c_custkey", "=", "o_custkey"),), keys=("c.c_custkey",), count=Q.Count("c_count", "o.o_orderkey"), how="left")
-
-
 def _count_of_counts(inner: DataFrame) -> DataFrame:
     return R.order_by(R.group_count(inner, ["c_count"], "custdist"), ["custdist", "c_count"], [False, False])
 
 
+def _not_urgent(t: Tables) -> DataFrame:
+    return R.where(t.orders, F.col("o_orderpriority") != "1-URGENT")
+
+
 @query(_Q13)
 def tpch_q13(t: Tables) -> DataFrame:
-    return _count_of_counts(Q.optimise(q13(t)))
+    return _count_of_counts(Q.count_of_join(t.customer, _not_urgent(t), {"c_custkey": "o_custkey"}, ["c_custkey"], "c_count", of="o_orderkey", how="left"))
 
 
 @query(_Q13)
 def tpch_q13_naive(t: Tables) -> DataFrame:
-    return _count_of_counts(Q.build(q13(t)))
+    joined = R.join(t.customer, _not_urgent(t), F.col("c_custkey") == F.col("o_custkey"), how="left")
+    return _count_of_counts(R.group(joined, ["c_custkey"], F.count("o_orderkey").alias("c_count")))
 
 
 # --- sources and sinks
@@ -200,6 +228,12 @@ def schema_source(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(rows, "relation string, name string, sharing string")
 
 
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
+def relation_opened(t: Tables) -> DataFrame:
+    opened = text_source.open_relation(t.nation.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name"))
+    return t.spark.createDataFrame(list(zip(*opened.values(), strict=True)), "n_nationkey long, n_name string")
+
+
 # --- filters and predicates
 
 
@@ -247,6 +281,26 @@ def padded_semi_join_distinct(t: Tables) -> DataFrame:
     return P.compact(P.distinct_rows(P.semi_join_rows(orders, lines, "o_orderkey", "l_orderkey"), ["o_custkey"])).select("o_custkey")
 
 
+@query("SELECT count(*) FILTER (WHERE l_quantity > 45) AS cnt FROM lineitem")
+def padded_count(t: Tables) -> DataFrame:
+    return P.count_rows(P.select_rows(t.lineitem, F.col("l_quantity") > 45))
+
+
+@query(
+    "SELECT o_custkey, n AS cnt, n > 0 AND first AS __sel FROM (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') OVER (PARTITION BY o_custkey) AS n, "
+    "o_orderstatus = 'F' AND row_number() OVER (PARTITION BY o_custkey, o_orderstatus = 'F' ORDER BY o_orderkey) = 1 AS first FROM orders)"
+)
+def padded_group_count(t: Tables) -> DataFrame:
+    rows = P.select_rows(t.orders.select("o_custkey", "o_orderkey", "o_orderstatus"), F.col("o_orderstatus") == "F")
+    return P.group_rows(rows, ["o_custkey"], {"cnt": F.count(F.lit(1))}, ["o_orderkey"]).select("o_custkey", "cnt", P.SEL)
+
+
+@query("SELECT r_name, n_name, r_regionkey = n_regionkey AND n_nationkey < 15 AS __sel FROM region CROSS JOIN nation")
+def padded_join(t: Tables) -> DataFrame:
+    nations = P.select_rows(t.nation.select("n_nationkey", "n_regionkey", "n_name"), F.col("n_nationkey") < 15)
+    return P.join_rows(t.region.select("r_regionkey", "r_name"), nations, F.col("r_regionkey") == F.col("n_regionkey")).select("r_name", "n_name", P.SEL)
+
+
 # --- joins
 
 
@@ -383,6 +437,11 @@ def top_orders(t: Tables) -> DataFrame:
     return R.top(R.project(t.orders, "o_orderkey", "o_totalprice"), 10, F.desc("o_totalprice"), F.asc("o_orderkey"))
 
 
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 25")
+def limit_rows(t: Tables) -> DataFrame:
+    return R.limit(R.order_by(R.project(t.orders, "o_orderkey"), ["o_orderkey"]), 25)
+
+
 # --- set operations, windows in time, grouping sets
 
 
@@ -448,11 +507,60 @@ def share_and_open(t: Tables) -> DataFrame:
     )
 
 
+@query("SELECT o_orderkey, o_custkey AS opened, true AS is_bit, true AS same_bit FROM orders")
+def share_kinds(t: Tables) -> DataFrame:
+    """From additive shares to exclusive-or ones, and random bits in both sharings."""
+    key, value = F.col("o_orderkey"), F.col("o_custkey")
+    b, a = S.random_bit(61, key)
+    return t.orders.select(
+        "o_orderkey", S.open_boolean(S.to_boolean(S.share_arithmetic(value, 71, key), 81, key)).alias("opened"), S.open_boolean(b).isin(0, 1).alias("is_bit"), (S.open_boolean(b) == S.open_arithmetic(a)).alias("same_bit")
+    )
+
+
 # --- SQL texts
 
 
 def _sql_texts() -> None:
     texts = {
+        # the named queries as texts with their constants
+        "sql_q1": ("SELECT DISTINCT orders.[o_custkey] FROM orders, lineitem WHERE orders.[o_orderkey] = lineitem.[l_orderkey]", {}),
+        "sql_q2": ("SELECT orders.[o_custkey], COUNT(*) AS cnt FROM orders, lineitem WHERE o_orderkey = l_orderkey GROUP BY orders.[o_custkey]", {}),
+        "sql_q3": ("SELECT DISTINCT l_suppkey FROM lineitem WHERE l_linenumber = 'line'", {"line": 1}),
+        "sql_comorbidity": (
+            "WITH cohort AS (SELECT user_id FROM events WHERE event_type = 'kind' AND value > 'least') SELECT event_type, COUNT(*) AS cnt FROM events WHERE user_id IN (SELECT * FROM cohort) "
+            "GROUP BY event_type ORDER BY cnt DESC, event_type LIMIT 10",
+            {"kind": "error", "least": 95},
+        ),
+        "sql_cdiff": (
+            "WITH rcd AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS row_no FROM events WHERE event_type = 'kind') "
+            "SELECT DISTINCT r1.user_id FROM rcd r1 JOIN rcd r2 ON r1.user_id = r2.user_id WHERE r2.ts - r1.ts >= INTERVAL '1' DAY AND r2.ts - r1.ts <= INTERVAL '3' DAY AND r2.row_no = r1.row_no + 1",
+            {"kind": "purchase"},
+        ),
+        "sql_aspirin": (
+            "SELECT count(DISTINCT d.user_id) AS cnt FROM events AS d JOIN events AS m ON d.user_id = m.user_id WHERE d.event_type = 'first' AND d.value > 'least' "
+            "AND m.event_type = 'second' AND m.value > 'least' AND d.ts <= m.ts",
+            {"first": "click", "second": "purchase", "least": 80},
+        ),
+        "sql_password": ("SELECT DISTINCT user_id FROM events GROUP BY user_id, event_type HAVING COUNT(*) > 'times'", {"times": 15}),
+        "sql_credit": (
+            "SELECT s.user_id FROM (SELECT user_id, MIN(value) AS low, MAX(value) AS high FROM events WHERE events.value > 'least' GROUP BY user_id) AS s WHERE s.high - s.low > 'span'",
+            {"least": 2, "span": 95},
+        ),
+        "sql_tpch_q4": (
+            "SELECT o_orderpriority, count(*) AS order_count FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-07-01' "
+            "AND EXISTS (SELECT * FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate) GROUP BY o_orderpriority ORDER BY o_orderpriority",
+            {},
+        ),
+        "sql_tpch_q6": (
+            "SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' "
+            "AND l_shipdate < TIMESTAMP '1997-01-01' AND l_discount >= 'low' AND l_discount <= 'high' AND l_quantity < 'most'",
+            {"low": 0.05, "high": 0.07, "most": 24},
+        ),
+        "sql_tpch_q13": (
+            "SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(o_orderkey) FROM customer LEFT OUTER JOIN orders ON c_custkey = o_custkey AND o_orderpriority <> 'priority' "
+            "GROUP BY c_custkey) AS c_orders(c_custkey, c_count) GROUP BY c_count ORDER BY custdist DESC, c_count DESC",
+            {"priority": "1-URGENT"},
+        ),
         "sql_cte_alias": (
             "WITH big AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 'least') SELECT k, n FROM (SELECT o_custkey, count(*) FROM big GROUP BY o_custkey) AS b(k, n) WHERE n >= 2",
             {"least": 250000},
@@ -472,7 +580,7 @@ def _sql_texts() -> None:
 
         def run(t: Tables, text: str = text, constants: dict = constants) -> DataFrame:
             catalog = Catalog(t.spark)
-            for table in ("orders", "customer", "nation", "part"):
+            for table in ("orders", "customer", "nation", "part", "lineitem", "events"):
                 catalog.add(table, getattr(t, table))
             return run_sql(t.spark, text, catalog, **constants)
 
