@@ -50,10 +50,15 @@ def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
     return key.alias("_k1"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_k2")
 
 
+def quoted(name: str) -> str:
+    """A column's name for `F.col`, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def carried(df: DataFrame, *new: str, needed: tuple[str, ...] = ()) -> Column:
     """The columns of `df` as one struct `_row`, so that none clashes with an operator's own; without those that `new` ones replace, unless `needed`."""
     gone = {n.lower() for n in new} - {n.lower() for n in needed}
-    return F.struct(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in gone)).alias("_row")
+    return F.struct(*(F.col(quoted(c)) for c in df.columns if c.lower() not in gone)).alias("_row")
 
 
 def with_columns_back(df: DataFrame, *new: Column | str) -> DataFrame:
@@ -155,11 +160,13 @@ def word_hashes(distinct: pa.Array) -> np.ndarray:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, which the cluster names in spark.checkpoint.dir.
 
-    Only where nothing names one (tests on one machine) is a temporary folder taken.
+    Only on a single machine (local mode, as in tests) may it be unset; a temporary folder is then taken.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         named = tempfile.mkdtemp(prefix="spark-checkpoint-")
@@ -180,6 +187,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 #: Rows up to which a side of a join of a few numbers is broadcast (some tens of MB); beyond that both sides are shuffled.
 SMALL = 1_000_000
+#: Rows of one key from which on the key is joined by broadcast; there are at most a `HOT`-th as many such keys as rows.
+HOT = 100_000
 
 
 def join_keyed(large: DataFrame, keyed: DataFrame, on: list[str], how: str = "inner", most: int | None = None) -> DataFrame:
@@ -187,19 +196,106 @@ def join_keyed(large: DataFrame, keyed: DataFrame, on: list[str], how: str = "in
     return large.join(F.broadcast(keyed) if keyed.count() <= (SMALL if most is None else most) else keyed, on, how)
 
 
+def _may_have(large: DataFrame, keyed: DataFrame, on: list[str]) -> DataFrame:
+    """`large` with `_may`: false where a bitmap of hashed keys shows that `keyed` has no partner. The bitmap has at most `SMALL` rows of 256 bits, whatever the size of `keyed`."""
+    place = F.pmod(F.xxhash64(*on), F.lit(max(SMALL, 1) * 256))
+    part, bit = F.expr("_place div 64 % 4"), F.expr("shiftleft(1L, cast(_place % 64 as int))")
+    bits = F.array(*(F.bit_or(F.when(part == p, bit).otherwise(F.lit(0).cast("long"))) for p in range(4)))
+    bitmap = keyed.select(place.alias("_place")).groupBy(F.expr("_place div 256").alias("_slot")).agg(bits.alias("_bits"))
+    placed = large.withColumn("_place", place).withColumn("_slot", F.expr("_place div 256"))
+    known = placed.join(F.broadcast(bitmap), "_slot", "left")
+    may = F.expr("coalesce(getbit(element_at(_bits, cast(_place div 64 % 4 + 1 as int)), cast(_place % 64 as int)) = 1, false)")
+    return known.withColumn("_may", may).drop("_slot", "_place", "_bits")
+
+
+def semi_keyed(large: DataFrame, keyed: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of a wide table that have a partner in a kept narrow one; rows without one are not shuffled, but for those that a bitmap can't tell."""
+    if keyed.count() <= SMALL:
+        return large.join(F.broadcast(keyed.select(*on)), on, "left_semi")
+    return _may_have(large, keyed, on).where("_may").drop("_may").join(keyed.select(*on), on, "left_semi")
+
+
+def join_wide(large: DataFrame, keyed: DataFrame, on: list[str]) -> DataFrame:
+    """An inner join of a wide table with a kept narrow one that may have several rows a key; else as `semi_keyed`."""
+    if keyed.count() <= SMALL:
+        return large.join(F.broadcast(keyed), on)
+    return _may_have(large, keyed, on).where("_may").drop("_may").join(keyed, on)
+
+
 def attach_keyed(large: DataFrame, keyed: DataFrame, on: list[str]) -> DataFrame:
-    """A left join with a kept table whose rows stand for few of `large`'s: while its keys are few, only rows that have a partner are shuffled."""
-    if keyed.count() > SMALL:
-        return large.join(keyed, on, "left")
-    keys = F.broadcast(keyed.select(*on))
-    return large.join(keys, on, "left_semi").join(keyed, on, "left").unionByName(large.join(keys, on, "left_anti"), allowMissingColumns=True)
+    """A left join with a kept table whose rows stand for few of `large`'s: only rows that have a partner are shuffled, and those that a bitmap can't tell."""
+    if keyed.count() <= SMALL:
+        keys = F.broadcast(keyed.select(*on))
+        met, alone = large.join(keys, on, "left_semi"), large.join(keys, on, "left_anti")
+    else:
+        known = _may_have(large, keyed, on)
+        met, alone = known.where("_may").drop("_may"), known.where("NOT _may").drop("_may")
+    return met.join(keyed, on, "left").unionByName(alone, allowMissingColumns=True)
+
+
+def mark_keyed(large: DataFrame, keyed: DataFrame, on: list[str]) -> DataFrame:
+    """As `attach_keyed`, for a table of narrow rows, which is broadcast whole while it is small."""
+    return large.join(F.broadcast(keyed), on, "left") if keyed.count() <= SMALL else attach_keyed(large, keyed, on)
+
+
+def join_hot(large: DataFrame, keyed: DataFrame, on: list[str], times: str, how: str = "inner") -> DataFrame:
+    """An inner or left join with a kept table of one row a key, whose column `times` counts the key's rows in `large`; broadcast while small.
+
+    Beyond that the few keys with at least `HOT` rows are broadcast, so that none of them gathers its rows in one task.
+    """
+    if keyed.count() <= SMALL:
+        return large.join(F.broadcast(keyed.drop(times)), on, how)
+    hot = keyed.where(F.col(times) >= HOT)
+    if not 0 < hot.count() <= max(SMALL, 1):
+        return large.join(keyed.drop(times), on, how)
+    hot = F.broadcast(hot.drop(times))
+    cold = large.join(hot.select(*on), on, "left_anti").join(keyed.where(F.col(times) < HOT).drop(times), on, how)
+    return large.join(hot, on).unionByName(cold)
+
+
+def whole_units(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], wide: str, most_bytes: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows sorted by `keys` as batches of whole units, rows with equal keys, of about `most_bytes` of the column `wide`; and where units begin and the last ends."""
+
+    def starts_of(batch: pa.RecordBatch) -> np.ndarray:
+        fresh = np.zeros(batch.num_rows - 1, dtype=bool)
+        for k in keys:
+            column = batch.column(k).to_numpy(zero_copy_only=False)
+            fresh |= column[1:] != column[:-1]
+        return np.flatnonzero(fresh) + 1
+
+    def cut(parts: list[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        batch = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        starts = np.concatenate([[0], starts_of(batch), [batch.num_rows]])
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(wide)), 0).to_numpy(zero_copy_only=False).astype(np.int64))])[starts]
+        at = 0
+        while at < len(starts) - 1:
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + most_bytes, "right")) - 1)
+            yield batch.slice(starts[at], starts[stop] - starts[at]), starts[at : stop + 1] - starts[at]
+            at = stop
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and any(held[-1].column(k)[-1] != batch.column(k)[0] for k in keys):
+            yield from cut(held)
+            held = []
+        starts = starts_of(batch)
+        if len(starts):
+            yield from cut([*held, batch.slice(0, starts[-1])])
+            held = [batch.slice(starts[-1])]
+        else:
+            held.append(batch)
+    if held:
+        yield from cut(held)
+    give_back()
 
 
 def components(links: DataFrame) -> DataFrame:
     """The smallest number that can be reached from each end of the links `a, b`: rows `node, root` of nodes other than roots.
 
     Alternates the large-star and small-star steps of connected components until nothing changes;
-    each is a minimum with map-side combination and a join, so a hub's neighbours never meet in one task.
+    each is a minimum with map-side combination and a join of narrow rows, whose hubs adaptive execution splits.
     """
     edges = checkpointed(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     seen = None

@@ -3,11 +3,12 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd import LOWER, WHITE, by_row, lower, odd_docs, odd_rows, removed_by_windows, sha, shingles
 from pyspark.sql import functions as F
 
-from commonloom.llm import common, exact_dedup, line_dedup, ngram_join, substring_dedup
+from commonloom.llm import bpe, common, exact_dedup, line_dedup, ngram_join, quality_rules, substring_dedup
 
 
 def line_key(line):
@@ -29,7 +30,58 @@ def expected_lines(rows):
     return Counter(out)
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize(("small", "hot"), [(1_000_000, 100_000), (0, 100_000), (1, 3), (2, 3)])
+def test_joins_give_what_plain_joins_give(spark, monkeypatch, small, hot):
+    """Broadcast, by a bitmap of keys, and with hot keys apart."""
+    monkeypatch.setattr(common, "SMALL", small)
+    monkeypatch.setattr(common, "HOT", hot)
+    large = spark.createDataFrame([(n % 7, n % 3, f"text {n}") for n in range(60)] + [(None, 1, "null")], "a long, b long, t string").repartition(4)
+    keyed = common.checkpointed(large.where("a < 4 AND t < 'text 4'").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.max("t").alias("most")))
+    on, rows = ["a", "b"], lambda df: by_row(df, "a", "b", "t")
+    assert rows(common.semi_keyed(large, keyed, on)) == rows(large.join(keyed, on, "left_semi"))
+    wide = keyed.select("a", "b", F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
+    assert by_row(common.join_wide(large, wide, on), "t", "k") == by_row(large.join(wide, on), "t", "k")
+    assert by_row(common.attach_keyed(large, keyed, on), "t", "most") == by_row(large.join(keyed, on, "left"), "t", "most")
+    assert by_row(common.mark_keyed(large, keyed, on), "t", "most") == by_row(large.join(keyed, on, "left"), "t", "most")
+    for how in ("inner", "left"):
+        out = common.join_hot(large, keyed, on, "times", how)
+        assert "times" not in out.columns
+        assert by_row(out, "t", "most") == by_row(large.join(keyed, on, how), "t", "most")
+
+
+def test_only_texts_with_a_partner_are_shuffled(spark, monkeypatch):
+    """The rows without one pass in the stage that reads them."""
+    docs = odd_docs(spark)
+    rows = docs.select(*common.row_key("doc_id", "text"), F.col("text").alias("_text"))
+    keyed = common.checkpointed(rows.where("_text LIKE 'spam%'").select("_k1", "_k2", F.lit(1).alias("x")))
+    for small in (0, 1_000_000):
+        monkeypatch.setattr(common, "SMALL", small)
+        alone = common.attach_keyed(rows, keyed, ["_k1", "_k2"]).where("x IS NULL")
+        plan = alone._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Union") == 1
+    assert common.semi_keyed(rows, keyed, ["_k1", "_k2"]).count() == keyed.count()
+    assert common._may_have(rows, keyed, ["_k1", "_k2"]).where("_may").count() <= keyed.count() + 2
+
+
+def test_empty_tables(spark):
+    docs = odd_docs(spark).limit(0)
+    for op in (ngram_join.op2, line_dedup.op5, exact_dedup.op6, bpe.op7, substring_dedup.op8, quality_rules.op10):
+        out = op(docs)
+        assert out.count() == 0 and "doc_id" in out.columns
+
+
+def test_tables_without_anything_to_find(spark):
+    """Nulls, empty texts and texts that share nothing."""
+    rows = [(1, None), (2, ""), (3, "alone here"), (None, None), (None, "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_row(ngram_join.op2(docs), "doc_id", "component_id") == Counter([(1, 1), (2, 2), (3, 3), (None, None), (None, None)])
+    assert {r["n_dropped"] for r in line_dedup.op5(docs).collect()} == {0} == {r["n_removed"] for r in substring_dedup.op8(docs).collect()}
+    assert sorted(r["group_size"] for r in exact_dedup.op6(docs).collect()) == [1, 1, 3, 3, 3]
+
+
+@pytest.mark.parametrize("small", [0, common.SMALL])
+def test_line_dedup(spark, monkeypatch, small):
+    monkeypatch.setattr(common, "SMALL", small)
     got = by_row(line_dedup.op5(odd_docs(spark)), "doc_id", "n_lines", "n_dropped", "kept_sha256")
     assert got == expected_lines(odd_rows())
     assert any(r[2] for r in got)
@@ -52,7 +104,9 @@ def test_keep_bitmaps_of_long_documents(spark):
     assert max(len(r["keep_words"] or {}) for r in line_dedup.line_bitmaps(docs).collect()) == 4
 
 
-def test_exact_dedup(spark):
+@pytest.mark.parametrize("small", [0, common.SMALL])
+def test_exact_dedup(spark, monkeypatch, small):
+    monkeypatch.setattr(common, "SMALL", small)
     rows = odd_rows()
     groups = defaultdict(list)
     for i, t in rows:
@@ -141,10 +195,77 @@ def test_bounds_lose_no_pair():
                 continue
             value, doc = np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)])
             sizes = np.array([len(a), len(b)])
-            keys, owner = ngram_join.block_keys(value, doc, sizes, percent)
-            assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
-            counts = ngram_join.same_length(ngram_join.group_counts(value, doc, sizes))
-            assert sum(len(i) for i, _ in ngram_join.surviving_pairs(counts, sizes, None, percent)) == 1
+            order = np.lexsort((value, doc))
+            value = value[order]
+            often = np.sort(rng.choice(value, len(value) // 2, replace=False))
+            for known, level in ((often[:0], often[:0]), (often, rng.integers(1, 4, len(often)))):
+                any_size, larger, _ = ngram_join.leading(value, doc, sizes, percent, known, level)
+                small, large = np.argsort(sizes, kind="stable").tolist()
+                assert set(value[larger & (doc == small)].tolist()) & set(value[any_size & (doc == large)].tolist())
+            node, raw = np.array([7, 3]), ngram_join.points_of(value, doc, sizes)
+            counts = ngram_join.same_length(raw, sizes)
+            assert counts.sum(axis=1).tolist() == sizes.tolist()
+            assert [len(x) for x in ngram_join.leaf_pairs(raw, sizes, node, np.array([2]), percent)] == [1, 1]
+            for side in (None, np.array([1, 2])):
+                assert ngram_join.connected(ngram_join.Points(counts, sizes, percent, node, side), node) == ([7], [3])
+            assert ngram_join.connected(ngram_join.Points(counts, sizes, percent, np.array([1, 1]), None), node) == ([], [])
+            assert ngram_join.connected(ngram_join.Points(counts, sizes, percent, node, np.array([1, 1])), node) == ([], [])
+
+
+@pytest.mark.parametrize("sided", [False, True])
+def test_tree_connects_what_brute_force_does(sided):
+    """Groups around the threshold in one unit, with repeats among the groups' counts; on exact sets and on coarse points."""
+    rng = np.random.default_rng(11)
+    for round_ in range(12):
+        bases = [rng.integers(0, 2**63, int(rng.integers(10, 80))).astype(np.uint64) * np.uint64(2) for _ in range(4)]
+        sets = []
+        for _ in range(int(rng.integers(2, 150))):
+            base = bases[rng.integers(4)]
+            stay = rng.random(len(base)) > rng.random() * 0.3
+            stay[0] = True
+            sets.append(np.unique(np.concatenate([base[stay], rng.integers(0, 2**63, int(rng.integers(0, 5))).astype(np.uint64)])))
+        node = rng.permutation(len(sets)) + 5
+        side = rng.integers(1, 3, len(sets)) if sided else np.zeros(len(sets), dtype=int)
+        parent = {int(x): int(x) for x in node}
+
+        def top(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        n = np.array([len(x) for x in sets])
+        raw = ngram_join.points_of(np.concatenate(sets), np.repeat(np.arange(len(sets)), n), n)
+        counts = ngram_join.same_length(raw, n)
+        trees = ngram_join.Sets(sets, 90, node, side if sided else None), ngram_join.Points(counts, n, 90, node, side if sided else None)
+        for whole, tree in zip((True, False), trees, strict=True):
+            for i, a in enumerate(sets):
+                for j in range(i):
+                    both = len(np.intersect1d(a, sets[j])) if whole else np.minimum(counts[i], counts[j]).sum()
+                    if not (sided and side[i] == side[j]) and 190 * both >= 90 * (len(a) + len(sets[j])):
+                        x, y = top(int(node[i])), top(int(node[j]))
+                        parent[max(x, y)] = min(x, y)
+            left, right = ngram_join.connected(tree, node)
+            assert dict(zip(left, right, strict=True)) == {x: top(x) for x in parent if top(x) != x}, round_
+
+
+def test_shingles_of_many_words_have_places():
+    """The same words in another order are another shingle, also beyond the eighth."""
+    a, b = "a b c d e f g h i", "i b c d e f g h a"
+    value, doc, n = ngram_join.shingle_sets(pa.array([a, b, a.upper()]), 9)
+    assert n.tolist() == [1, 1, 1] and value[0] != value[1] and value[0] == value[2]
+
+
+def test_many_alike_but_unlinked_texts(spark, monkeypatch):
+    """A template's shingles come last in the order, so that texts that share no more than it never meet."""
+    template = [f"t{n}" for n in range(34)]
+    rows = [(i, " ".join([*template, *(f"o{i}x{n}" for n in range(5))])) for i in range(20_000)]
+    rows += [(50_000 + i, rows[i * 7][1].upper()) for i in range(50)] + [(60_000, rows[3][1] + " tail")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    searched = []
+    monkeypatch.setattr(ngram_join, "_verified", lambda source, classes, *rest, real=ngram_join._verified: searched.append(classes.count()) or real(source, classes, *rest))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_groups(docs, 80, 3).collect()}
+    assert {i: c for i, c in got.items() if i != c} == {50_000 + i: i * 7 for i in range(50)} | {60_000: 3}
+    assert searched == [1]
 
 
 def test_components(spark):
