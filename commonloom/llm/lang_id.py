@@ -1,9 +1,10 @@
 """Language identification: unigram models over pieces, summed over all segmentations.
 
-The pieces are those of a fixed public vocabulary. For each language the pieces' probabilities are
-estimated by expectation maximisation over words of a bounded sample of labelled documents, and a
-word's probability is the sum over all ways to cut it into pieces, by a forward algorithm that runs
-over many words at once. A document's score is the posterior of its language over all its words.
+The pieces are all those of a fixed public vocabulary, in lower case. For each language the pieces'
+probabilities are estimated by expectation maximisation over all words of a bounded sample of
+labelled documents, and a word's probability is the sum over all ways to cut it into pieces, by a
+forward algorithm that runs over many words at once and keeps its sums scaled, so that words may be
+of any length. A document's score is the posterior of its language over all its words.
 """
 
 from __future__ import annotations
@@ -13,29 +14,28 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from commonloom.llm.common import arrow_slices, held_out, may_learn, mix64, word_codes
+from commonloom.llm.common import arrow_slices, checkpointed, held_out, join_keyed, may_learn, mix64, word_codes
 
 UNKNOWN = "und"
-#: Letters of a piece, at most, and of a stretch that is cut at once; longer words are cut into such stretches.
-PIECE, STRETCH = 8, 48
-#: Words that a worker remembers the scores of; beyond that it starts afresh.
-REMEMBERED = 300_000
+#: Letters whose pieces are looked up at once, and words of so many letters together; they bound memory only.
+BLOCK, TOGETHER = 1024, 1_000_000
+#: Words that a worker remembers the scores of, and their letters; beyond that it starts afresh.
+REMEMBERED, LETTERS = 300_000, 8_000_000
 
 
 class Vocabulary:
-    """Pieces of up to `PIECE` letters in lower case, numbered from 1 (0: any other single letter), found by the hash of their letters."""
+    """Pieces in lower case, numbered from 1 (0: any other single letter), found by the hash of their letters."""
 
     SLOTS = 19
 
     def __init__(self, names: list[str]) -> None:
-        self.size = len(names)
+        self.size, self.longest = len(names), max(map(len, names))
         self.keys = np.zeros(1 << self.SLOTS, dtype=np.uint64)
         self.values = np.full(1 << self.SLOTS, -1, dtype=np.int32)
         self.probes = 1
@@ -68,6 +68,18 @@ class Vocabulary:
             found = np.where(self.keys[at] == keys, self.values[at], found)
         return found
 
+    def lattice(self, letters: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """For each word, each start from `lo` to `hi` and each length: the piece there (-1: none)."""
+        words, n = letters.shape
+        grid = np.full((words, hi - lo, self.longest), -1, dtype=np.int32)
+        hashes = np.zeros((words, hi - lo), dtype=np.uint64)
+        for k in range(1, min(self.longest, n - lo) + 1):
+            starts = min(hi, n - k + 1) - lo
+            hashes = self.longer(hashes[:, :starts], letters[:, lo + k - 1 : lo + k - 1 + starts])
+            grid[:, :starts, k - 1] = self.find(hashes)
+        grid[:, :, 0] = np.maximum(grid[:, :, 0], 0)
+        return grid
+
 
 @lru_cache(maxsize=2)
 def pieces(path: str) -> Vocabulary:
@@ -75,7 +87,7 @@ def pieces(path: str) -> Vocabulary:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     names = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i))}
-    return Vocabulary(sorted(n for n in names if 0 < len(n) <= PIECE))
+    return Vocabulary(sorted(n for n in names if n))
 
 
 def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
@@ -84,69 +96,75 @@ def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
-def _lattices(words: list[str], vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Words of equal length at once: their places in `words`, and for each start and length the piece there (-1: none)."""
-    by_length: dict[int, list[tuple[int, str]]] = {}
+def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words of equal length at once, with the mark of a word's begin: their places in `words`, and their letters."""
+    lengths: dict[int, list[int]] = {}
     for i, w in enumerate(words):
-        marked = "▁" + w
-        for a in range(0, len(marked), STRETCH):
-            part = marked[a : a + STRETCH]
-            by_length.setdefault(len(part), []).append((i, part))
-    for n, group in by_length.items():
-        for a in range(0, len(group), 8_000):
-            some = group[a : a + 8_000]
-            letters = np.array([w for _, w in some], dtype=f"<U{n}").view(np.uint32).reshape(len(some), n).astype(np.uint64)
-            grid = np.full((len(some), n, PIECE), -1, dtype=np.int32)
-            hashes = np.zeros_like(letters)
-            for k in range(1, min(PIECE, n) + 1):
-                hashes = vocabulary.longer(hashes[:, : n - k + 1], letters[:, k - 1 :])
-                grid[:, : n - k + 1, k - 1] = vocabulary.find(hashes)
-            grid[:, :, 0] = np.maximum(grid[:, :, 0], 0)
-            yield np.array([i for i, _ in some]), grid
-
-
-def _forward(grid: np.ndarray, chance: np.ndarray) -> np.ndarray:
-    """For each language, word and end: the summed probability of all segmentations up to there. `chance`: language by piece, last column 0."""
-    words, n, most = grid.shape
-    sums = np.zeros((len(chance), words, n + 1))
-    sums[:, :, 0] = 1
-    for end in range(1, n + 1):
-        for k in range(1, min(most, end) + 1):
-            sums[:, :, end] += sums[:, :, end - k] * chance[:, grid[:, end - k, k - 1]]
-    return sums
+        lengths.setdefault(len(w) + 1, []).append(i)
+    for n, places in lengths.items():
+        step = max(1, min(8_000, TOGETHER // n))
+        for a in range(0, len(places), step):
+            some = places[a : a + step]
+            yield np.array(some), np.array(["▁" + words[i] for i in some], dtype=f"<U{n}").view(np.uint32).reshape(len(some), n).astype(np.uint64)
+
+
+def _forward(letters: np.ndarray, vocabulary: Vocabulary, chance: np.ndarray, every: bool = False, back: bool = False) -> np.ndarray:
+    """For each word and language the log of the summed probability of all segmentations; with `every`, of those up to each end (first axis), or `back` from each begin on.
+
+    `chance`: piece by language, last row 0. Sums over the last few ends are kept as numbers, scaled to their maximum from time to time.
+    """
+    words, n = letters.shape
+    most = vocabulary.longest
+    recent, scale = np.zeros((words, most, chance.shape[1])), np.zeros((words, chance.shape[1]))
+    recent[:, 0] = 1
+    logs = np.zeros((n + 1, words, chance.shape[1])) if every else None
+    for lo in range(0, n, BLOCK):
+        hi = min(n, lo + BLOCK)
+        first, last = (n - hi, n - lo) if back else (max(0, lo - most + 1), hi)
+        grid = vocabulary.lattice(letters, first, last)
+        for end in range(lo + 1, hi + 1):
+            k = np.arange(1, min(most, end) + 1)
+            pieces = grid[:, n - end - first, k - 1] if back else grid[:, end - k - first, k - 1]
+            new = np.einsum("wkl,wkl->wl", chance[pieces], recent[:, (end - k) % most])
+            recent[:, end % most] = new
+            if every:
+                logs[end] = np.log(new) + scale
+            if not end % 8:
+                top = recent.max(axis=1)
+                recent /= top[:, None]
+                scale += np.log(top)
+    return logs if every else np.log(recent[:, n % most]) + scale
 
 
 @dataclass
 class LanguageModel:
     languages: list[str]
-    chance: np.ndarray  # language by piece, with a last column of zeros for what is no piece
+    chance: np.ndarray  # piece by language, with a last row of zeros for what is no piece
     path: str
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """The log probability of each word in each language."""
         out = np.zeros((len(words), len(self.languages)))
-        for at, grid in _lattices(words, pieces(self.path)):
-            np.add.at(out, at, np.log(_forward(grid, self.chance)[:, :, -1].T + 1e-300))
+        for at, letters in _by_length(words):
+            out[at] = _forward(letters, pieces(self.path), self.chance)
         return out
 
 
-def _expect(grids: list[tuple[np.ndarray, np.ndarray]], times: np.ndarray, chance: np.ndarray) -> np.ndarray:
+def _expect(words: list[str], times: np.ndarray, vocabulary: Vocabulary, chance: np.ndarray) -> np.ndarray:
     """Expected uses of each piece over all segmentations of words seen `times` often."""
-    uses = np.zeros(chance.shape[1])
-    for at, grid in grids:
-        weight = times[at]
-        forward = _forward(grid, chance)[0]
-        words, n, most = grid.shape
-        backward = np.zeros((words, n + 1))
-        backward[:, n] = 1
-        for start in range(n - 1, -1, -1):
-            for k in range(1, min(most, n - start) + 1):
-                backward[:, start] += backward[:, start + k] * chance[0][grid[:, start, k - 1]]
-        scale = weight / np.maximum(forward[:, n], 1e-300)
-        for start in range(n):
-            for k in range(1, min(most, n - start) + 1):
-                piece = grid[:, start, k - 1]
-                uses += np.bincount(np.where(piece < 0, len(uses) - 1, piece), scale * forward[:, start] * chance[0][piece] * backward[:, start + k], len(uses))
+    uses = np.zeros(len(chance))
+    for at, letters in _by_length(words):
+        n = letters.shape[1]
+        ahead = _forward(letters, vocabulary, chance, every=True)[:, :, 0].T
+        behind = _forward(letters, vocabulary, chance, every=True, back=True)[::-1, :, 0].T
+        for lo in range(0, n, BLOCK):
+            hi = min(n, lo + BLOCK)
+            grid = vocabulary.lattice(letters, lo, hi)
+            for k in range(1, min(vocabulary.longest, n - lo) + 1):
+                stop = min(hi, n - k + 1)
+                piece = grid[:, : stop - lo, k - 1]
+                part = np.exp(ahead[:, lo:stop] + behind[:, lo + k : stop + k] - ahead[:, n:]) * times[at][:, None]
+                uses += np.bincount(np.where(piece < 0, len(uses) - 1, piece).ravel(), (part * chance[piece, 0]).ravel(), len(uses))
     uses[-1] = 0
     return uses
 
@@ -156,29 +174,36 @@ def fit(counts: dict[str, dict[str, int]], path: str, rounds: int = 3, prior: fl
     vocabulary = pieces(path)
     size = vocabulary.size + 2
     languages = sorted(counts)
-    chance = np.zeros((len(languages), size))
-    for row, language in enumerate(languages):
+    chance = np.zeros((size, len(languages)))
+    for column, language in enumerate(languages):
         words = sorted(counts[language])
         times = np.array([counts[language][w] for w in words], dtype=np.float64)
-        grids = list(_lattices(words, vocabulary))
-        guess = np.zeros((1, size))
-        guess[0, :-1] = 1 / size
+        guess = np.zeros((size, 1))
+        guess[:-1] = 1 / size
         for _ in range(rounds):
-            uses = _expect(grids, times, guess) + prior
+            uses = _expect(words, times, vocabulary, guess) + prior
             uses[-1] = 0
-            guess[0] = uses / uses.sum()
-        chance[row] = guess[0]
-    chance[:, 0] = 1e-6  # letters outside the vocabulary tell nothing
+            guess[:, 0] = uses / uses.sum()
+        chance[:, column] = guess[:, 0]
+    chance[0] = 1e-6  # letters outside the vocabulary tell nothing
     return LanguageModel(languages, chance, path)
 
 
-def learn(docs: DataFrame, path: str | None = None, max_docs: int = 400, max_words: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """A model from at most `max_docs` whole documents of each language that may be learned from, and their `max_words` most frequent words."""
+def learn(docs: DataFrame, path: str | None = None, max_docs: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    """A model from all words of at most `max_docs` whole documents of each language that may be learned from, those with the smallest hashes of their ids.
+
+    Rows with a null language or text count for nothing; a document repeated counts as often as it stands.
+    """
     path = path or vocabulary_path()
     fit_for = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & may_learn(F.col(id_col)))
-    order = W.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    picked = fit_for.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).distinct().withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= max_docs)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).join(F.broadcast(picked.select("_id", "_lang")), ["_id", "_lang"])
+    fit_for = fit_for.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
+    counts = checkpointed(fit_for.groupBy("_lang").agg(F.count(F.lit(1)).alias("_rows")))
+    span = 1 << 32
+    # about four times as many as are wanted are left of a large language, so that no task sorts more
+    some = join_keyed(fit_for.withColumn("_hash", F.pmod(F.xxhash64("_id"), F.lit(span))), counts, ["_lang"]).where(F.col("_hash") * F.col("_rows") <= F.lit(4.0 * max_docs * span))
+    order = W.partitionBy("_lang").orderBy("_hash", "_id")
+    picked = some.select("_id", "_lang", "_hash").distinct().withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= max_docs)
+    rows = join_keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")), checkpointed(picked.select("_id", "_lang")), ["_id", "_lang"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrow_slices(batches, "_text"):
@@ -191,8 +216,7 @@ def learn(docs: DataFrame, path: str | None = None, max_docs: int = 400, max_wor
             )
 
     words = rows.select("_lang", "_text").mapInArrow(run, "_lang string, _word string, _n long").groupBy("_lang", "_word").agg(F.sum("_n").alias("_n"))
-    most = W.partitionBy("_lang").orderBy(F.desc("_n"), "_word")
-    table = words.withColumn("_nth", F.row_number().over(most)).where(F.col("_nth") <= max_words).select("_lang", "_word", "_n").toPandas()
+    table = words.toPandas()
     return fit({lang: dict(zip(g["_word"], g["_n"], strict=True)) for lang, g in table.groupby("_lang")}, path)
 
 
@@ -200,17 +224,18 @@ class _Scorer:
     """Remembers the scores of words within a worker."""
 
     def __init__(self, model: LanguageModel) -> None:
-        self.model, self.known = model, pd.Index([], dtype=object)
+        self.model, self.letters = model, 0
         self.place: dict[str, int] = {}
         self.table = np.zeros((0, len(model.languages)))
 
     def scores(self, words: list[str]) -> np.ndarray:
         place = self.place
         new = [w for w in words if w not in place]
-        if len(place) + len(new) > REMEMBERED and place:
+        self.letters += sum(map(len, new))
+        if place and (len(place) + len(new) > REMEMBERED or self.letters > LETTERS):
             place.clear()
-            self.table = self.table[:0]
-            new = words
+            self.table, new = self.table[:0], words
+            self.letters = sum(map(len, new))
         if new:
             place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
             self.table = np.concatenate([self.table, self.model.word_scores(new)])
@@ -221,7 +246,9 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     """The id of each row with `lang_pred` and `score`, from the text alone.
 
     Without text or without any letter the answer is `und` with score 0; so it is for all rows if
-    no language was learned. Repeated rows each give a row; an empty table gives an empty result.
+    no language was learned. Of languages with the same score the first by name is taken. Words of
+    any length are scored whole, in time in proportion to their letters. Repeated rows each give a
+    row; an empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
