@@ -187,6 +187,107 @@ def test_extraction_takes_whole_articles(spark):
     assert got == {(n, want) for n, (_, _, want) in enumerate(WHOLE)} | {(100 + k, STORY) for k in range(9)}
 
 
+MEANT = [
+    (f"<article><p>{LONG}</p><div class='share-price'><p>Shares rose.</p></div></article>", f"{STORY} Shares rose."),
+    (f"<article><p>{LONG}</p><div class='related-work'><p>What others have found.</p></div><div class='related-posts'><p>Read this as well</p></div></article>", f"{STORY} What others have found."),
+    (f"<article><p>{LONG}</p><div class='menu-recipe'><a>Link</a> <a>Another link</a> x</div></article>", STORY),
+    (f"<body><form id=aspnet><h1>Head</h1><p>{LONG}</p><input name=x><button>go</button></form></body>", f"Head {STORY}"),
+    (f"<body><div class=widget><h1>Head</h1><p>{LONG}</p></div></body>", f"Head {STORY}"),
+    (f"<body><article><h1>Head</h1><p>{LONG}</p><div class=comments><article class=comment><p>{LONG * 3}</p></article></div></article></body>", f"Head {STORY}"),
+    (f"<body><div class=main-nav><h1><a>Site</a></h1><a>one</a><a>two</a></div><article><p>{LONG}</p></article></body>", STORY),
+]
+
+
+def test_names_that_only_contain_a_mark():
+    for page, want in MEANT:
+        assert html_extract.extract(page, None) == want
+
+
+M = 1_000_000
+ADVERSE = {
+    "stray end tags": "<span>" * (M // 10) + "</b>" * (M // 10),
+    "nested spans": "<span><p>x" * (M // 10),
+    "open quotes": '<a b="' * (M // 6),
+    "one end": '<a b="' * (M // 6 | 1) + ">",
+    "open tags": "<div class='a' " * (M // 15),
+    "angles": "<" * M,
+    "declarations": "<!" * (M // 2),
+    "scripts": "<script>" + "</script" * (M // 8),
+    "siblings": "<div class=p>" + "<div class=row>some text that is here</div>" * (M // 45) + "</div>",
+    "articles": "<div>" * 20_000 + "<article>some text is here</article>" * 20_000,
+    "items": "<ul>" + "<li>x" * (M // 5),
+    "name": "<a " + "x" * M + ">",
+}
+
+
+@pytest.mark.parametrize("kind", ADVERSE)
+def test_long_pages_take_time_in_proportion(kind):
+    """Twenty times the page takes at most about that much longer; a quadratic step would take hundreds of times as long."""
+    import time
+
+    page, times = ADVERSE[kind], []
+    for some in (page[: M // 20], page):
+        start = time.process_time()
+        path, _ = html_extract.page_vote(some)
+        html_extract.extract(some, path or None)
+        times.append(time.process_time() - start)
+    assert times[1] < max(2.0, 80 * times[0])
+
+
+def generated_page(rng):
+    """A page and its article, written down piece by piece."""
+    word = lambda: "".join(rng.choice("abcdefgäß") for _ in range(rng.randint(2, 8)))
+    sentence = lambda least=6, most=25: " ".join(word() for _ in range(rng.randint(least, most))) + "."
+
+    def inline(text):
+        words = text.split(" ")
+        k = rng.randrange(len(words))
+        words[k] = rng.choice(["<b>{}</b>", "<em class=x>{}</em>", "{}", "<!-- no -->{}", "<a href='/y'>{}</a>"]).format(words[k])
+        return rng.choice([" ", "\n ", "  "]).join(words)
+
+    def block():
+        kind = rng.randrange(5)
+        if kind == 0:
+            items = [sentence(3, 8) for _ in range(rng.randint(1, 4))]
+            return "<ul>" + "".join(f"<li>{inline(i)}" + rng.choice(["", "</li>"]) for i in items) + "</ul>", items
+        if kind == 1:
+            a, b = sentence(), sentence()
+            return f"<p>{inline(a)}<br/>{inline(b)}</p>", [a, b]
+        if kind == 2:
+            a, b = sentence(), word()
+            return f"<p>{a} &amp; &#8212;{b} &lt;</p>", [f"{a} & \u2014{b} <"]
+        if kind == 3:
+            a = sentence()
+            return f"<blockquote><p>{inline(a)}</p></blockquote>", [a]
+        a = sentence()
+        return f"<p>{inline(a)}" + rng.choice(["", "</p>"]), [a]
+
+    noise = lambda: rng.choice([
+        f"<div class='ad-{rng.randrange(9)}'>{sentence()}</div>", f"<aside><p>{sentence()}</p></aside>", f"<script>var x = '<p>{word()}</p>';</script>", f"<form><p>{sentence()}</p><input></form>",
+        f"<div class='share-buttons'>{word()}</div>", f"<style>p {{ }} </style>", "",
+    ])
+    head = sentence(2, 6)
+    html_parts, text = [f"<h1>{head}</h1>"], [head]
+    for _ in range(rng.randint(4, 12)):
+        markup, blocks = block()
+        html_parts += [markup, noise()]
+        text += blocks
+    article = "".join(html_parts)
+    wrap = rng.choice(["<article>{}</article>", "<main><article>{}</article></main>", "<div id=page><div class='post entry'>{}</div></div>", "<div class=outer><section class=text>{}</section></div>"])
+    nav = "<nav><ul>" + "".join(f"<li><a href=/{i}>{word()}</a></li>" for i in range(rng.randint(3, 9))) + "</ul></nav>"
+    comments = "<div id=comments>" + "".join(f"<div class=comment><p>{sentence()}</p></div>" for _ in range(rng.randint(0, 9))) + "</div>"
+    side = rng.choice([f"<div class='sidebar right'><p>{sentence()}</p></div>", f"<div class=cookie-notice>{sentence()}</div>", ""])
+    return f"<!DOCTYPE html><html><head><title>{head}</title></head><body>{nav}{side}{wrap.format(article)}{comments}<footer><p>{sentence()}</p></footer></body></html>", " ".join(text)
+
+
+def test_generated_pages_give_their_articles(spark):
+    rng = random.Random(12)
+    made = [generated_page(rng) for _ in range(150)]
+    rows = [(n, f"http://h{n % 7}.org/{n}", page) for n, (page, _) in enumerate(made)]
+    got = {r["page_id"]: r["text"] for r in html_extract.op9(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {n: text for n, (_, text) in enumerate(made)}
+
+
 def brute_repeats(w):
     n, longest = len(w), [0] * len(w)
     for i in range(n):
