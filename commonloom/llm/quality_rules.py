@@ -20,7 +20,10 @@ from commonloom.llm.common import WHITE, arrow_slices, word_codes
 
 
 def repeat_lengths(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For each word, the length of the longest word sequence from there that also starts elsewhere in its document."""
+    """For each word, the length of the longest word sequence from there that also starts elsewhere in its document.
+
+    Keeps four bytes a word for each doubling of the longest repeat, beside a few arrays of the words.
+    """
     n = len(codes)
     if not n:
         return np.zeros(0, dtype=np.int64)
@@ -33,7 +36,8 @@ def repeat_lengths(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     rank[n] = -1
     rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
     ends = np.repeat(np.cumsum(counts), counts)
-    levels, step = [rank.copy()], 1
+    number = np.int32 if n < 1 << 31 else np.int64
+    levels, step = [rank.astype(number)], 1
     shared = ~fresh
     shared[:-1] |= ~fresh[1:]
     active = order[shared]
@@ -50,7 +54,7 @@ def repeat_lengths(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         at = np.arange(len(active))
         place = mine + at - np.maximum.accumulate(np.where(first, at, 0))
         rank[active] = place[np.maximum.accumulate(np.where(fresh, at, 0))]
-        levels.append(rank.copy())
+        levels.append(rank.astype(number))
         shared = ~fresh
         shared[:-1] |= ~fresh[1:]
         active = active[shared]
@@ -103,7 +107,8 @@ def quality_rules(
     them in repeated 3-word windows, more than `max_covered_percent` in repeats of `min_repeat`
     words or more, or a repeat of over `max_longest` words. A null or empty text has no words
     and fails. Repeated rows each give a row; other columns are not read; an empty table gives
-    an empty result.
+    an empty result. Texts are read whole; a very long one is a slice of its own, whose memory
+    grows with its words (see `repeat_lengths`).
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
