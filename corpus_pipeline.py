@@ -5,52 +5,61 @@ from __future__ import annotations
 from collections.abc import Callable
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commonloom.llm import line_dedup, ngram_join, packing, quality_gam, substring_dedup
-from commonloom.llm.common import NO_ID, checkpointed, join_keyed, read_table, shared_folder
+from commonloom.llm.common import NO_ID, checkpointed, mark_keyed, quoted, read_table, shared_folder
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """Whole rows as one struct beside id and text, so that no column of theirs clashes with an operator's."""
+    return docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("whole"), "doc_id", "text")
+
+
+def unboxed(rows: DataFrame, docs: DataFrame, kept: str | None = None, changed: Column | None = None) -> DataFrame:
+    """The columns of `docs` from boxed rows; where `changed`, with the text `kept` and its length."""
+    new = {}
+    if kept is not None:
+        text = F.when(changed, F.col(kept)).otherwise(F.col("whole")["text"])
+        size = F.when(changed, F.char_length(kept)).otherwise(F.col("whole")["n_chars"]) if "n_chars" in docs.columns else None
+        new = {"text": text.alias("text")} | ({} if size is None else {"n_chars": size.cast(docs.schema["n_chars"].dataType).alias("n_chars")})
+    return rows.select(*(new.get(c, F.col("whole")[c].alias(c)) for c in docs.columns))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.5 or more."""
     model = quality_gam.learn(docs, read_table(spark, sf_dir, "labels"))
-    return quality_gam.score_quality(docs, model).where("quality_score >= 0.5").select(docs.columns)
+    return unboxed(quality_gam.score_quality(boxed(docs), model).where("quality_score >= 0.5"), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; lines that many documents share stay in one of them only."""
-    kept = line_dedup.line_dedup(docs, new_text="_kept")
-    return with_text(kept, docs, F.col("n_dropped") > 0)
+    return unboxed(line_dedup.line_dedup(boxed(docs)), docs, "kept_text", F.col("n_dropped") > 0)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8), that with the smallest id; of rows with the same id and text one."""
-    stays = ngram_join.jaccard_groups(docs).where("component_id = doc_id OR doc_id IS NULL").groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_keep")).agg(F.count(F.lit(1)).alias("_rows"))
-    stays = checkpointed(stays)
-    keyed = docs.withColumn("_keep", F.coalesce("doc_id", F.lit(NO_ID)))
-    once = join_keyed(keyed, stays.where("_rows = 1"), ["_keep"], "left_semi")
-    repeated = join_keyed(keyed, stays.where("_rows > 1"), ["_keep"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.union(repeated).select(docs.columns)
+    """One document of each group of near copies (five-word shingles, similarity 0.8), that with the smallest id.
+
+    Documents without an id all stay. Of rows with the same id and text one stays, whichever has the smallest hash.
+    """
+    key = F.coalesce("doc_id", F.lit(NO_ID)).alias("_keep")
+    marks = ngram_join.jaccard_groups(docs).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), F.max(F.coalesce(F.col("component_id") != F.col("doc_id"), F.lit(False))).alias("_gone"))
+    rows = mark_keyed(boxed(docs).select("*", key), checkpointed(marks.where("_gone OR _rows > 1")), ["_keep"])
+    once, repeated = rows.where("_rows IS NULL"), rows.where("NOT _gone")
+    one = F.min_by("whole", F.xxhash64(F.to_json("whole"))).alias("whole")
+    return unboxed(once.select("whole").union(repeated.groupBy("doc_id", "text").agg(one).select("whole")), docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the passages that repeat."""
-    kept = substring_dedup.substring_dedup(docs, new_text="_kept")
-    return with_text(kept, docs, F.col("n_removed") > 0)
+    return unboxed(substring_dedup.substring_dedup(boxed(docs)), docs, "kept_text", F.col("n_removed") > 0)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-def with_text(kept: DataFrame, docs: DataFrame, changed) -> DataFrame:
-    """The columns of `docs`, with the new text and its length where it has changed."""
-    text = F.when(changed, F.col("_kept")).otherwise(F.col("text"))
-    new = {"text": text.alias("text"), "n_chars": F.when(changed, F.char_length("_kept")).otherwise(F.col("n_chars")).cast("long").alias("n_chars")}
-    return kept.select(*(new.get(c, F.col(c)) for c in docs.columns))
-
-
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", quality),
     ("lines", lines),
