@@ -2,10 +2,11 @@
 
 from collections import Counter
 
-from odd import odd_docs, removed_by_windows, shingles
+from odd import by_row, odd_docs, removed_by_windows, shingles
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from commonloom.llm import queries
+from commonloom.llm import common, queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -44,12 +45,45 @@ def test_run(spark):
     assert pipeline.run(spark, DATA).count() > 0
 
 
-def test_odd_documents_pass_all_stages(spark):
-    docs = odd_docs(spark).select("doc_id", "text", "lang", "source", "n_chars")
+CLASHES = ("n_dropped", "_kept", "kept_text", "keep_words", "n_lines", "quality_score", "whole", "component_id", "_keep", "_rows", "n_removed", "n_words", "_k2", "_text", "a.b", "b`c", "_id", "_block")
+
+
+def clashing_docs(spark):
+    docs = odd_docs(spark)
+    return docs.select("*", *(F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in CLASHES))
+
+
+def test_odd_documents_pass_all_stages(spark, tmp_path):
+    """With null, empty, long and repeated texts, null and repeated ids, and columns named as the operators' own."""
+    docs = clashing_docs(spark)
+    columns = docs.columns
+    rest = [common.quoted(c) for c in columns if c not in ("text", "n_chars")]
+    seen = by_row(docs, *rest)
     for name, stage in pipeline.STAGES[1:-1]:
-        docs = stage(spark, docs, DATA)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
-    assert docs.count() > 0
+        stage(spark, docs, DATA).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == columns, name
+        kept = by_row(docs, *rest)
+        assert kept <= seen if name == "near_copies" else kept == seen, name
+        seen = kept
+    packed = pipeline.pack(spark, docs, DATA)
+    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_quality_stage_keeps_columns(spark):
+    docs = clashing_docs(spark)
+    rest = [common.quoted(c) for c in docs.columns]
+    out = pipeline.quality(spark, docs, DATA)
+    assert out.columns == docs.columns
+    assert by_row(out, *rest) <= by_row(docs, *rest)
+
+
+def test_empty_tables_pass_all_stages(spark):
+    docs = clashing_docs(spark).limit(0)
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, DATA)
+        assert out.count() == 0, name
+        assert out.columns == docs.columns or name == "packing"
 
 
 def test_registry():
