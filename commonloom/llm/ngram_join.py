@@ -423,7 +423,8 @@ def _gathered(keys: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
         return like & overlap_allows(F.least(F.abs(x["_rest"]), F.abs(y["_rest"])), x["_n"] + y["_n"], percent)
 
     may = F.filter("_members", lambda x: F.exists("_members", lambda y: partners(x, y)))
-    found = found.withColumn("_members", F.when(F.size("_members") <= LEAF, may).otherwise(F.col("_members")))
+    whole = (F.size("_members") <= LEAF) & (F.col("_rows") <= GATHERED)  # of a piece, partners may stand in others
+    found = found.withColumn("_members", F.when(whole, may).otherwise(F.col("_members")))
     return found.where((F.size("_members") > 1) | (F.col("_rows") > GATHERED))
 
 

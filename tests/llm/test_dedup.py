@@ -180,6 +180,21 @@ def test_jaccard_groups_of_many_near_copies(spark, monkeypatch, tile, percent):
         ngram_join.jaccard_groups(docs, percent=40)
 
 
+@pytest.mark.parametrize(("gathered", "hot"), [(8, 100_000), (8, 20), (4096, 20)])
+def test_jaccard_groups_of_hot_blocks(spark, monkeypatch, gathered, hot):
+    """Blocks with many rows, gathered in pieces and dealt by broadcast; with copies, repeated ids and sets on the threshold."""
+    import random
+
+    rng = random.Random(9)
+    base = [f"w{n}" for n in range(60)]
+    rows = [(i, " ".join([*base[: rng.randrange(50, 61)], *(f"y{rng.randrange(4)}" for _ in range(rng.randrange(4)))])) for i in range(70)]
+    rows += [(200 + i, rows[i % 3][1]) for i in range(30)] + [(5, "another text of the same document, and quite another one")]
+    monkeypatch.setattr(ngram_join, "GATHERED", gathered)
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert by_row(ngram_join.jaccard_groups(docs, 90, 3), "doc_id", "n_shingles", "component_id") == expected_groups(rows, 90)
+
+
 def test_bounds_lose_no_pair():
     """Similar sets always share a block, and the bound never rules them out."""
     rng = np.random.default_rng(1)
