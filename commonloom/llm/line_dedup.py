@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from commonloom.llm.common import WHITE, ascii_lower, carried, checkpointed, join_keyed, row_key, with_columns_back
+from commonloom.llm.common import WHITE, ascii_lower, attach_keyed, carried, checkpointed, join_hot, row_key, with_columns_back
 
 
 def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -34,7 +34,7 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col
     in_doc = W.partitionBy("_h1", "_h2", "_k1").orderBy("_pos", "_k2")
     first = ranged.withColumn("_nth", F.row_number().over(in_doc)).where("_nth = 1")
     common = first.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_docs"), F.max("_k1").alias("_keeper")).where(F.col("_docs") >= min_docs)
-    gone = join_keyed(hashed, checkpointed(common.select("_h1", "_h2", "_keeper")), ["_h1", "_h2"]).where("_k1 <> _keeper").select("_k1", "_k2", "_pos")
+    gone = join_hot(hashed, checkpointed(common), ["_h1", "_h2"], "_docs").where("_k1 <> _keeper").select("_k1", "_k2", "_pos")
     words = gone.groupBy("_k1", "_k2", F.expr("_pos div 64").cast("int").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, _pos % 64))").alias("_bits"))
     return words.groupBy("_k1", "_k2").agg(
         F.sum(F.bit_count("_bits")).alias("n_dropped"),
@@ -45,11 +45,11 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text", new_text: str = "kept_text") -> DataFrame:
     """All rows and columns of `docs` with `n_lines`, `n_dropped`, `keep_words` and the text that is left.
 
-    `keep_words` is null where all lines stay. Columns of those names in `docs` are replaced.
+    `keep_words` is null where all lines stay; only texts that lose lines are shuffled. Columns of those names in `docs` are replaced.
     """
-    bitmaps = line_bitmaps(docs, min_chars, min_docs, id_col, text_col)
+    bitmaps = checkpointed(line_bitmaps(docs, min_chars, min_docs, id_col, text_col))
     rows = docs.select(carried(docs, "n_lines", "n_dropped", "keep_words", new_text, needed=(id_col, text_col)), *row_key(id_col, text_col))
-    joined = rows.join(bitmaps, ["_k1", "_k2"], "left")
+    joined = attach_keyed(rows, bitmaps, ["_k1", "_k2"])
     whole = F.coalesce(F.col("_row")[text_col], F.lit(""))
     lines = F.split(whole, "\n")
 
