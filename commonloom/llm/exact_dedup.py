@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commonloom.llm.common import NO_ID, ascii_lower, checkpointed, row_key, shuffle_partitions
+from commonloom.llm.common import NO_ID, ascii_lower, checkpointed, join_hot, row_key, semi_keyed, shuffle_partitions
 
 BITS = 48
 #: Rows of a slice, at most; a slice is part of one input partition.
@@ -116,11 +116,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     owners = max(shuffle_partitions(spark), -(-prints.count() // OWNED))
     sent = prints.select("_src", "_fp").mapInArrow(_send(owners), "_owner int, _src long, _n int, _k int, _unary binary, _rest binary, _twice binary")
     answers = sent.groupBy("_owner").applyInPandas(_answer(owners), "_src long, _owner int, _dup binary, _n int")
-    marked = prints.groupBy("_src").cogroup(answers.groupBy("_src")).applyInPandas(_mark, "_k1 long, _k2 long, _sha binary, _suspect boolean")
-    suspects = marked.where("_suspect").select("_k1", "_k2").distinct()
-    groups = keyed.join(suspects, ["_k1", "_k2"], "left_semi").groupBy("_text").agg(F.max("_k1").alias("_keep"), F.count(F.lit(1)).alias("_size"))
-    groups = groups.where("_size > 1").select(F.unhex(sha).alias("_sha"), "_keep", "_size")
-    found = marked.join(groups, "_sha", "left")
+    marked = checkpointed(prints.groupBy("_src").cogroup(answers.groupBy("_src")).applyInPandas(_mark, "_k1 long, _k2 long, _sha binary, _suspect boolean"))
+    suspects = checkpointed(marked.where("_suspect").select("_k1", "_k2").distinct())
+    groups = semi_keyed(keyed, suspects, ["_k1", "_k2"]).groupBy("_text").agg(F.max("_k1").alias("_keep"), F.count(F.lit(1)).alias("_size"))
+    groups = checkpointed(groups.where("_size > 1").select(F.unhex(sha).alias("_sha"), "_keep", "_size", F.col("_size").alias("_times")))
+    found = join_hot(marked.where("_suspect"), groups, ["_sha"], "_times", "left").unionByName(marked.where("NOT _suspect"), allowMissingColumns=True)
     single = F.col("_size").isNull()
     kind = docs.schema[id_col].dataType
 
