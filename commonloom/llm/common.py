@@ -238,12 +238,12 @@ def mark_keyed(large: DataFrame, keyed: DataFrame, on: list[str]) -> DataFrame:
     return large.join(F.broadcast(keyed), on, "left") if keyed.count() <= SMALL else attach_keyed(large, keyed, on)
 
 
-def join_hot(large: DataFrame, keyed: DataFrame, on: list[str], times: str, how: str = "inner") -> DataFrame:
-    """An inner or left join with a kept table of one row a key, whose column `times` counts the key's rows in `large`; broadcast while small.
+def join_hot(large: DataFrame, keyed: DataFrame, on: list[str], times: str, how: str = "inner", wide: bool = False) -> DataFrame:
+    """An inner or left join with a kept table of one row a key, whose column `times` counts the key's rows in `large`; broadcast while small, if its rows aren't `wide`.
 
     Beyond that the few keys with at least `HOT` rows are broadcast, so that none of them gathers its rows in one task.
     """
-    if keyed.count() <= SMALL:
+    if not wide and keyed.count() <= SMALL:
         return large.join(F.broadcast(keyed.drop(times)), on, how)
     hot = keyed.where(F.col(times) >= HOT)
     if not 0 < hot.count() <= max(SMALL, 1):

@@ -3,8 +3,10 @@
 Each window of words is filed under the smallest hash of the phrases in it, which equal windows
 share; neighbouring windows with the same phrase form one passage. Only passages whose phrase was
 met elsewhere go on, as text, to the shard of that phrase, equal ones added up on the way. A shard
-confirms which windows recur, compiles the recurring stretches into an automaton and streams its
-passages through it. What it finds is carried back to all documents that hold the passage.
+confirms which windows recur and joins those that always follow each other to stretches. Each
+distinct stretch is compiled into the shard's automaton once, from whichever passage has it, and
+all passages are streamed through it: the automaton alone says where in them the stretches are.
+What it finds is carried back to all documents that hold the passage.
 
 A phrase with many distinct passages, such as a line that stands in a third of all documents, is
 split: its windows are counted one by one in Spark, and those that recur are filed as passages
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from commonloom.llm.common import arrow_slices, attach_keyed, carried, checkpointed, join_keyed, mix64, row_key, text_of, with_columns_back, word_codes, word_hashes, words_of
+from commonloom.llm.common import arrow_slices, attach_keyed, carried, checkpointed, join_hot, join_keyed, mix64, row_key, semi_keyed, text_of, with_columns_back, word_codes, word_hashes, words_of
 
 #: Words of the phrases that windows are filed under, at most.
 PHRASE = 8
@@ -103,7 +105,7 @@ def _contents(words: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.nd
 
 
 def _recurring(texts: list[str], times: np.ndarray, phrase: np.ndarray, window: int) -> list[list[tuple[int, int]]]:
-    """The word spans of each passage that recurring windows cover, found by an automaton of the recurring stretches."""
+    """The word spans of each passage that recurring windows cover, found by an automaton of the distinct recurring stretches."""
     codes, distinct, counts = word_codes(pa.array(texts, pa.string()))
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     if len(codes) < window:
@@ -116,14 +118,21 @@ def _recurring(texts: list[str], times: np.ndarray, phrase: np.ndarray, window:
     with np.errstate(over="ignore"):
         key = value[starts] ^ mix64(phrase[mine].astype(np.int64).view(np.uint64))
     _, at = np.unique(key, return_inverse=True)
-    again = np.bincount(at, weights=times[mine])[at] > 1
-    starts, mine = starts[again], mine[again]
+    total = np.bincount(at, weights=times[mine])
+    again = total[at] > 1
+    starts, mine, at = starts[again], mine[again], at[again]
     if not len(starts):
         return spans
+    # two windows belong to one stretch if neither is ever met without the other, so that no passage holds a part of a stretch
+    follows = np.flatnonzero((starts[1:] == starts[:-1] + 1) & (mine[1:] == mine[:-1]))
+    _, pair = np.unique(at[follows] * len(total) + at[follows + 1], return_inverse=True)
+    met = np.bincount(pair, weights=times[mine[follows]])[pair] if len(pair) else np.zeros(0)
     fresh = np.ones(len(starts), dtype=bool)
-    fresh[1:] = (starts[1:] != starts[:-1] + 1) | (mine[1:] != mine[:-1])
+    fresh[follows[(met == total[at[follows]]) & (met == total[at[follows + 1]])] + 1] = False
     begin = np.flatnonzero(fresh)
     stop = starts[np.append(begin[1:], len(starts)) - 1] + window
+    _, once = np.unique(at[begin], return_index=True)
+    begin, stop = begin[once], stop[once]
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     split: dict[int, list[str]] = {}
     for i, lo, hi in zip(mine[begin].tolist(), starts[begin].tolist(), stop.tolist(), strict=True):
@@ -154,15 +163,16 @@ def _search(window: int):
         def close() -> pa.RecordBatch:
             held = list(rows.values())
             spans = _recurring([h[2] for h in held], np.array([h[3] for h in held]), np.array([h[0] for h in held], dtype=np.int64), window)
-            keep = [(h[0], h[1], s) for h, s in zip(held, spans, strict=True) if s]
+            keep = [(h[0], h[1], s, h[3]) for h, s in zip(held, spans, strict=True) if s]
             rows.clear()
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([k[0] for k in keep], pa.int64()),
                     pa.array([k[1] for k in keep], pa.int64()),
                     pa.array([[x for span in k[2] for x in span] for k in keep], pa.list_(pa.int32())),
+                    pa.array([k[3] for k in keep], pa.int64()),
                 ],
-                names=["_phrase", "_hash", "_spans"],
+                names=["_phrase", "_hash", "_spans", "_times"],
             )
 
         for batch in batches:
@@ -238,7 +248,7 @@ def filed_passages(source: DataFrame, window: int) -> tuple[DataFrame, DataFrame
                         out[c].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("_phrase", pa.int64()), ("_hash", pa.int64()), ("_times", pa.int64()), ("_passage", pa.string())]))
 
-    holders = join_keyed(source, wanted.select("_k1", "_k2"), ["_k1", "_k2"], "left_semi")
+    holders = semi_keyed(source, wanted, ["_k1", "_k2"])
     copied = holders.join(wanted, ["_k1", "_k2"]).mapInArrow(copy, "_phrase long, _hash long, _times long, _passage string")
     return places, copied
 
@@ -248,8 +258,8 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     source = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
     places, copied = filed_passages(source, window)
     sharded = copied.repartition("_phrase").sortWithinPartitions("_phrase")
-    found = checkpointed(sharded.mapInArrow(_search(window), "_phrase long, _hash long, _spans array<int>"))
-    back = places.select("_phrase", "_hash", "_k1", "_k2", "_start").join(found, ["_phrase", "_hash"])
+    found = checkpointed(sharded.mapInArrow(_search(window), "_phrase long, _hash long, _spans array<int>, _times long"))
+    back = join_hot(places.select("_phrase", "_hash", "_k1", "_k2", "_start"), found, ["_phrase", "_hash"], "_times", wide=True)
     moved = back.select("_k1", "_k2", F.transform("_spans", lambda x: x + F.col("_start")).alias("_spans")).distinct()
     return checkpointed(moved.groupBy("_k1", "_k2").agg(F.collect_list("_spans").alias("removed")))
 

@@ -44,9 +44,10 @@ def test_joins_give_what_plain_joins_give(spark, monkeypatch, small, hot):
     assert by_row(common.attach_keyed(large, keyed, on), "t", "most") == by_row(large.join(keyed, on, "left"), "t", "most")
     assert by_row(common.mark_keyed(large, keyed, on), "t", "most") == by_row(large.join(keyed, on, "left"), "t", "most")
     for how in ("inner", "left"):
-        out = common.join_hot(large, keyed, on, "times", how)
-        assert "times" not in out.columns
-        assert by_row(out, "t", "most") == by_row(large.join(keyed, on, how), "t", "most")
+        for wide in (False, True):
+            out = common.join_hot(large, keyed, on, "times", how, wide)
+            assert "times" not in out.columns
+            assert by_row(out, "t", "most") == by_row(large.join(keyed, on, how), "t", "most")
 
 
 def test_only_texts_with_a_partner_are_shuffled(spark, monkeypatch):
